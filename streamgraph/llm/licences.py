@@ -13,6 +13,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import let
+
 LEAST = 0.8
 # Short notices of well-known public licences.
 TEMPLATES = {
@@ -72,7 +74,7 @@ def scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
     whole = docs.where(F.instr("text", "\n") > 0).select("doc_id", F.lit(0).alias("unit"), F.col("text").alias("_line"))
     seen = _sized(lines.unionByName(whole), rows, least)
     words = F.filter(F.split(F.lower("_line"), "[^a-z0-9]+", -1), lambda w: w != "")
-    units = seen.select("doc_id", "unit", words.alias("_w")).select("doc_id", "unit", bigrams(F.col("_w")).alias("_g"))
+    units = seen.select("doc_id", "unit", let(words, bigrams).alias("_g"))
     joined = units.withColumn("a", F.size("_g")).where(f"a between 1 and {largest}").join(F.broadcast(templates), "a")
     dice = 2 * F.size(F.array_intersect("_g", "grams")) / (F.col("a") + F.size("grams"))
     return joined.withColumn("dice", dice).where(F.col("dice") >= least).select("doc_id", "unit", "licence", "template", "dice")
@@ -93,7 +95,8 @@ def _sized(units: DataFrame, rows: list[tuple[str, int, list[str]]], least: floa
     return units.where(F.lower("_line").rlike(f"(?:^|[^a-z0-9])(?:{found})(?:[^a-z0-9]|$)"))
 
 
-def verdicts(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """Per document with any match: doc_id, ``licences`` (distinct, sorted, comma-joined), n_units, best_dice."""
-    found = scan(docs, least)
-    return found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"), F.count_distinct("unit").alias("n_units"), F.max("dice").alias("best_dice"))
+def best_matches(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """Of ``scan`` the best match of each unit; equal ones go by licence and template. Repeated rows of a document give one row."""
+    order = F.struct("dice", "licence", (-F.col("template")).alias("template"))
+    best = scan(docs, least).groupBy("doc_id", "unit").agg(F.max(order).alias("b"))
+    return best.select("doc_id", "unit", "b.licence", (-F.col("b.template")).alias("template"), "b.dice")

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .columns import let
+
 RISK, LEVEL = 0.01, 0.05
 #: Signals, greater is worse, and their cutoffs from the mildest to the strictest; a document above a cutoff is rejected.
 GRID = {
@@ -28,11 +30,6 @@ GRID = {
 STRATUM = "lang"
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def base(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper, n_bangs and base_failed, all without a shuffle.
 
@@ -54,13 +51,13 @@ def base(docs: DataFrame) -> DataFrame:
             pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
             # most texts repeat no window: a cheap sort of the hashes alone says so
             same = F.size(F.array_distinct(h)) == F.size(h)
-            return F.when(same, F.lit(0)).otherwise(_let(pairs, lambda s: _let(at(s), cover)))
+            return F.when(same, F.lit(0)).otherwise(let(pairs, lambda s: let(at(s), cover)))
 
-        return F.when(F.size(w) < 4, F.lit(0)).otherwise(_let(hashes, covered))
+        return F.when(F.size(w) < 4, F.lit(0)).otherwise(let(hashes, covered))
 
     measured = docs.withColumn("_t", text).withColumns({
-        "_w": _let(words, lambda w: F.struct(F.size(w).cast("bigint").alias("n"), repeated(w).cast("bigint").alias("r"))),
-        "_l": _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint")),
+        "_w": let(words, lambda w: F.struct(F.size(w).cast("bigint").alias("n"), repeated(w).cast("bigint").alias("r"))),
+        "_l": let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint")),
     })
     measured = measured.withColumns({
         "n_words": F.col("_w.n"), "word_chars": F.length(F.regexp_replace("_t", r"[\x20\x09-\x0D]+", "")).cast("bigint"), "n_symbols": count("#*$%&|<>"),
