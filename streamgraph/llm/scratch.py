@@ -19,12 +19,16 @@ def root(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table and read it back: lineage is cut, and a lost executor costs one task's reread."""
+def keep(df: DataFrame, name: str, own: bool = False) -> DataFrame:
+    """Write ``df`` as a Parquet table and read it back: lineage is cut, and a lost executor costs one task's reread.
+
+    own: ``release`` leaves this one alone.
+    """
     spark = df.sparkSession
     path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    if not own:
+        _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
