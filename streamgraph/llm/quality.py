@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import scratch
 from .columns import let
 
 RISK, LEVEL = 0.01, 0.05
@@ -28,6 +29,9 @@ GRID = {
     "bang_share": [0.50, 0.40, 0.30, 0.20, 0.15, 0.10, 0.05],
 }
 STRATUM = "lang"
+#: Cutoffs are broadcast up to so many rows, and joined by a shuffle beyond.
+BROADCAST_ROWS = 10_000
+OWN = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_bangs", "base_failed", "kept", "failed_signals"]
 
 
 def base(docs: DataFrame) -> DataFrame:
@@ -117,6 +121,31 @@ def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, level
     return held.groupBy("stratum", "signal").agg(F.max_by(F.when(F.col("all_passed"), F.col("cutoff")), F.when(F.col("all_passed"), F.col("step"))).alias("cutoff"))
 
 
+def _stratified(docs: DataFrame) -> DataFrame:
+    return base(docs.drop(*OWN, "stratum")).withColumn("stratum", F.coalesce(F.col(STRATUM).cast("string"), F.lit("")))
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, stratum and the columns of ``base`` only, written once: texts are read for it, but never shuffled."""
+    return scratch.keep(_stratified(docs.select("doc_id", "text", STRATUM)).select("doc_id", "stratum", *OWN[:-2]), "measured")
+
+
+def decide(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Measured rows with ``failed_signals`` and ``kept``, by the cutoffs of their stratum."""
+    cutoffs = chosen.where("cutoff is not null").groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("signal", "cutoff"))).alias("_cut"))
+    few = chosen.count() <= BROADCAST_ROWS  # one row per stratum and signal
+    joined = rows.join(F.broadcast(cutoffs) if few else cutoffs, "stratum", "left")
+    above = F.array_compact(F.array(*[F.when(c > F.col("_cut")[s], F.lit(s)) for s, c in signals().items()]))
+    judged = joined.withColumn("failed_signals", above).withColumn("kept", ~F.col("base_failed") & (F.size("failed_signals") == 0))
+    return judged.drop("_cut")
+
+
+def verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """``judge`` without the texts and further columns: doc_id, stratum, the columns of ``base``, ``failed_signals``, ``kept``."""
+    rows = measured(docs)
+    return decide(rows, scratch.keep(thresholds(rows, labels, risk, level), "thresholds"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """``docs`` with the columns of ``base``, ``kept`` and ``failed_signals`` (which cutoffs it is above).
 
@@ -124,12 +153,5 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float =
     without enough labels no cutoff is proven, and only the base rules hold. Rows with null or repeated ids are judged
     each by their own text. Columns of ``docs`` with the names added here are replaced; empty tables give no rows.
     """
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_bangs", "base_failed", "kept", "failed_signals"]
-    docs = docs.drop(*own, "stratum")
-    measured = base(docs).withColumn("stratum", F.coalesce(F.col(STRATUM).cast("string"), F.lit("")))
-    chosen = thresholds(base(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")).withColumn("stratum", F.coalesce(F.col(STRATUM).cast("string"), F.lit(""))), labels, risk, level)
-    cutoffs = chosen.where("cutoff is not null").groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("signal", "cutoff"))).alias("_cut"))
-    joined = measured.join(cutoffs, "stratum", "left")
-    above = F.array_compact(F.array(*[F.when(c > F.col("_cut")[s], F.lit(s)) for s, c in signals().items()]))
-    judged = joined.withColumn("failed_signals", above).withColumn("kept", ~F.col("base_failed") & (F.size("failed_signals") == 0))
-    return judged.drop("_cut", "stratum")
+    chosen = scratch.keep(thresholds(measured(docs), labels, risk, level), "thresholds")
+    return decide(_stratified(docs), chosen).drop("stratum")
