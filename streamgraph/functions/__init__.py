@@ -85,8 +85,8 @@ def clock(seconds: Column) -> Column:
 
 def short_duration(seconds: Column) -> Column:
     """In the largest unit that fits: ``ms``, ``s``, ``m`` or ``h``, to two places."""
-    value = lambda by, unit: F.concat(F.format_number(seconds / by, "0.00"), F.lit(unit))
-    return F.when(seconds < 1, F.concat(F.format_number(seconds * 1000, "0.00"), F.lit("ms"))).when(seconds < 60, value(1, "s")).when(seconds < 3600, value(60, "m")).otherwise(value(3600, "h"))
+    value = lambda by, unit: F.format_string(f"%.2f{unit}", (seconds / by).cast("double"))
+    return F.when(seconds < 1, value(0.001, "ms")).when(seconds < 60, value(1, "s")).when(seconds < 3600, value(60, "m")).otherwise(value(3600, "h"))
 
 
 def state(waiting: Column, recent: Column) -> Column:
