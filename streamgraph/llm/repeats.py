@@ -152,31 +152,37 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Texts without repeated spans stay as they are, null and empty ones included.
     """
-    columns = docs.columns
     spans = repeated_spans(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words")).alias("_spans"))  # of one document
-    spans = scratch.keep(spans, "spans")
-    marked = docs.join(spans, "doc_id", "left")
-    touched = marked.where("_spans is not null")
+    marked = docs.join(scratch.keep(spans, "spans"), "doc_id", "left").select(*docs.columns, "_spans")
+
+    def cut(part: pa.RecordBatch) -> pa.RecordBatch:
+        """Rows that have spans, without them."""
+        w = words.words_of(part, words.SPACED)
+        data = w.data.tobytes()
+        texts = []
+        for i, spans in enumerate(part.column("_spans").to_pylist()):
+            at, kept, base = int(w.offsets[i]), [], int(w.first[i])
+            for s in sorted(spans, key=lambda x: x["start"]):
+                a, b = base + s["start"], base + s["start"] + s["n_words"]
+                kept.append(data[at : int(w.start[a])])
+                at = int(w.start[b]) if b < w.first[i + 1] else int(w.offsets[i + 1])
+            kept.append(data[at : int(w.offsets[i + 1])])
+            texts.append(b"".join(kept).decode())
+        part = _put(part, "text", pa.array(texts, pa.string()))
+        if "n_chars" in part.schema.names:
+            part = _put(part, "n_chars", pa.array(map(len, texts), pa.int64()))
+        return part.filter(pa.array([bool(t.strip()) for t in texts]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.sliced(batch):
-                w = words.words_of(part, words.SPACED)
-                data = w.data.tobytes()
-                texts = []
-                for i, spans in enumerate(part.column("_spans").to_pylist()):
-                    at, kept, base = int(w.offsets[i]), [], int(w.first[i])
-                    for s in sorted(spans, key=lambda x: x["start"]):
-                        a, b = base + s["start"], base + s["start"] + s["n_words"]
-                        kept.append(data[at : int(w.start[a])])
-                        at = int(w.start[b]) if b < w.first[i + 1] else int(w.offsets[i + 1])
-                    kept.append(data[at : int(w.offsets[i + 1])])
-                    texts.append(b"".join(kept).decode())
-                rest = part.drop_columns(["_spans"])
-                rest = rest.set_column(rest.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-                yield rest.filter(pa.array([bool(t.strip()) for t in texts]))
-
-    kept = touched.mapInArrow(run, touched.drop("_spans").schema).select(*columns)
-    if "n_chars" in columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return marked.where("_spans is null").select(*columns).unionByName(kept.select(*columns))
+            touched = pc.is_valid(batch.column("_spans"))
+            yield batch.filter(pc.invert(touched)).drop_columns(["_spans"])
+            for part in words.sliced(batch.filter(touched)):
+                yield cut(part).drop_columns(["_spans"])
+
+    return marked.mapInArrow(run, docs.schema)
+
+
+def _put(part: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    at = part.schema.get_field_index(name)
+    return part.set_column(at, name, values.cast(part.schema.field(at).type))
