@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, language, licences, near_dedup, packing, quality, repeats, token_counts
+from . import chat, decontaminate, html, language, licences, near_dedup, packing, quality, repeats, sql, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,4 +78,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+#: The others have no SQL (suffix spans, packing, extraction, prediction, token counts); tests/llm holds them against brute force.
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": sql.quality_rules(),
+    "op2_minhash_dedup": sql.near_duplicates(),
+    "op4_decontaminate": sql.decontamination(),
+    "op7_chat_format": sql.chat_digests(),
+    "op9_license_scan": sql.license_scan(),
+}

@@ -98,7 +98,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Maximal spans of words that lie in a window of ``length`` words which occurs before: doc_id, start, n_words, source_doc_id.
 
     "Before" goes by doc_id, then by position, so the first occurrence of a passage is never in
-    the result; ``source_doc_id`` is the smallest document with a first occurrence of a part of the span. Words are
+    the result; ``source_doc_id`` is the smallest of the documents that were found to hold a part of the span before. Words are
     lower-cased (A-Z); white space does not matter. Null, empty and short texts give no rows, nor do rows without a doc_id;
     rows that repeat a doc_id count as one document, whose text any of them gives; other columns are not read.
     """
