@@ -16,7 +16,7 @@ bounded blocks. No pair goes unexamined because a bucket is large.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ SHINGLE, BINS, BANDS, ROWS = 5, 128, 32, 4
 NUMERATOR, DENOMINATOR = 75, 100
 #: Members that one task's group holds when a bucket is compared.
 BLOCK = 128
+#: Equal coordinates without which a similarity of 0.75 is ruled out: 5.4 standard deviations below its mean of 96.
+EQUAL = 70
 _EMPTY = np.uint64(2**64 - 1)
 
 
@@ -133,89 +135,113 @@ def close(a: str, b: str) -> str:
     return f"{DENOMINATOR} * least({a}, {b}) >= {NUMERATOR} * greatest({a}, {b})"
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar. Each ``a`` meets its ``b`` in chunks of BLOCK about, its set sent once per chunk."""
-    pairs = scratch.keep(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    held = scratch.keep(sets(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
-    chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+def _met(pairs: DataFrame, payload: DataFrame, measure: Callable[[np.ndarray, np.ndarray], int], dtype: type, least: int) -> DataFrame:
+    """(a, b, score) of the pairs whose ``measure`` is at least ``least``. payload: (doc_id, data).
+
+    Each ``a`` meets its ``b`` in chunks of BLOCK about; its data is sent once per chunk, and no task holds more than one chunk's head.
+    """
+    chunks = scratch.keep(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")), "chunks")
     heads = chunks.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    wide = scratch.keep(chunks.where("chunks > 1"), "wide")
-    chunk = F.pmod(F.xxhash64("b"), F.coalesce("chunks", F.lit(1))).cast("int")
-    members = pairs.join(wide, "a", "left").select("a", "b", chunk.alias("chunk"))
-    rows = members.union(heads).join(held.withColumnRenamed("doc_id", "b"), "b")
+    members = pairs.select("a", "b").join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"))
+    rows = members.union(heads).join(payload.select(F.col("doc_id").alias("b"), "data"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, head = None, None
         for batch in batches:
-            a, b, chunk, data = (batch.column(c) for c in ("a", "b", "chunk", "shingles"))
             found = []
-            for x, y, c, s in zip(a.to_pylist(), b.to_pylist(), chunk.to_pylist(), data.to_pylist(), strict=True):
-                mine = np.frombuffer(s, np.uint64)
+            for x, y, c, raw in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "chunk", "data")), strict=True):
+                mine = np.frombuffer(raw, dtype)
                 if x == y:
                     key, head = (x, c), mine
-                elif key == (x, c) and similar(head, mine):
-                    found.append((x, y))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+                elif key == (x, c) and (score := measure(head, mine)) >= least:
+                    found.append((x, y, score))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], ["a", "b", "score"])
 
     grouped = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("a") != F.col("b"), "b")
-    return grouped.mapInArrow(run, "a bigint, b bigint")
+    return grouped.mapInArrow(run, "a bigint, b bigint, score bigint")
+
+
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose sketches leave the similarity possible, with ``score``, the number of equal coordinates."""
+    return _met(pairs, nodes.select("doc_id", F.col("sketch").alias("data")), lambda a, b: int((a == b).sum()), np.uint32, EQUAL)
 
 
-def leftover(bucket_rows: DataFrame, leaders: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a bucket but, after the leaders' links, no component, and whose sketches leave 0.75 possible.
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose full sets are similar."""
+    pairs = scratch.keep(pairs.select("a", "b"), "pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    held = scratch.keep(sets(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
+    return scratch.keep(_met(pairs, held.select("doc_id", F.col("shingles").alias("data")), lambda a, b: int(similar(a, b)), np.uint64, 1).select("a", "b"), "links")
+
 
-    In a bucket the members outside the leader's component are cut into blocks of BLOCK about. Each block
-    meets, in chunks, the members of the leader's component, and every block; members of one component are not compared.
+def leftover(bucket_rows: DataFrame, leaders: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b), verified on full sets, among what shares a bucket but, after the leaders' links, no component.
+
+    A bucket belongs to its leader's component. All members of a component's unsettled buckets that lie
+    outside of it are cut into blocks of BLOCK about; each block meets, in chunks, the members inside, and
+    every block. So a pair meets once per component, not once per bucket, and a task compares two blocks, whose
+    sets it holds: by sketches first, then exactly. Pairs that don't hold never leave the task.
     """
-    spread = bucket_rows.join(leaders, "key").join(labels.select(F.col("id").alias("doc_id"), F.col("component")), "doc_id", "left")
-    spread = spread.select("key", "doc_id", "n", "leader", F.coalesce("component", "doc_id").alias("c"))
-    spread = scratch.keep(spread.join(labels.select(F.col("id").alias("leader"), F.col("component").alias("lc")), "leader", "left").withColumn("main", F.col("c") == F.coalesce("lc", "leader")).drop("lc"), "spread")
-    open_ = spread.groupBy("key").agg(F.count_if(~F.col("main")).alias("strays"), F.count_if("main").alias("mains"), F.min(F.when(~F.col("main"), F.col("c"))).alias("c0"), F.max(F.when(~F.col("main"), F.col("c"))).alias("c1"))
-    # settled: no strays, or all strays in one component and none but the leader, which has met them, in its own
-    open_ = open_.where("strays > 0 and not (c0 = c1 and mains = 1)")
-    open_ = scratch.keep(open_.select("key", F.ceil(F.col("strays") / BLOCK).cast("int").alias("blocks"), F.greatest(F.ceil(F.col("mains") / BLOCK).cast("int"), F.lit(1)).alias("chunks")), "open")
-    rows = spread.where("doc_id <> leader").join(open_, "key")
-    h = F.xxhash64("doc_id")
-    grid = lambda n: F.sequence(F.lit(0), n - 1)
-    # a group is (key, block, with): with < blocks, another block of strays; from there on a chunk of the main component
-    main = rows.where("main").select("key", "doc_id", "n", "c", F.explode(grid(F.col("blocks"))).alias("block"), (F.col("blocks") + F.pmod(h, "chunks")).cast("int").alias("with"), F.lit(False).alias("left"))
-    stray = rows.where(~F.col("main")).withColumn("own", F.pmod(h, "blocks").cast("int"))
-    first = stray.select("key", "doc_id", "n", "c", F.col("own").alias("block"), F.explode(grid(F.col("blocks") + F.col("chunks"))).alias("with"), F.lit(True).alias("left")).where("with >= block")
-    second = stray.select("key", "doc_id", "n", "c", F.explode(grid(F.col("blocks"))).alias("block"), F.col("own").alias("with"), F.lit(False).alias("left")).where("with > block")
-    groups = main.unionByName(first).unionByName(second).join(nodes.select("doc_id", "sketch"), "doc_id")
+    named = lambda c, out: labels.select(F.col("id").alias(c), F.col("component").alias(out))
+    spread = bucket_rows.join(leaders, "key").join(named("doc_id", "c"), "doc_id", "left").join(named("leader", "lc"), "leader", "left")
+    spread = scratch.keep(spread.select("key", "doc_id", "n", F.coalesce("c", "doc_id").alias("c"), F.coalesce("lc", "leader").alias("lc")), "spread")
+    out = F.col("c") != F.col("lc")
+    state = spread.groupBy("key").agg(F.count_if(out).alias("strays"), F.count_if(~out).alias("mains"), F.min(F.when(out, F.col("c"))).alias("c0"), F.max(F.when(out, F.col("c"))).alias("c1"))
+    # settled: no strays, or all of one component and none but the leader, which has met them, in its own
+    unsettled = scratch.keep(state.where("strays > 0 and not (c0 = c1 and mains = 1)").select("key"), "unsettled")
+    rows = scratch.keep(spread.join(unsettled, "key").select(F.col("lc").alias("key"), "doc_id", "n", "c").distinct(), "open")
+    stray = F.col("c") != F.col("key")
+    sizes = rows.groupBy("key").agg(F.greatest(F.ceil(F.count_if(stray) / BLOCK), F.lit(1)).cast("int").alias("blocks"), F.greatest(F.ceil(F.count_if(~stray) / BLOCK), F.lit(1)).cast("int").alias("chunks"))
+    rows = rows.join(scratch.keep(sizes, "sizes"), "key")
+    h, grid = F.xxhash64("doc_id"), lambda n: F.sequence(F.lit(0), n - 1)
+    # a group is (key, block, with): with < blocks, another block of strays; from there on a chunk of the component
+    main = rows.where(~stray).select("key", "doc_id", "n", "c", F.explode(grid(F.col("blocks"))).alias("block"), (F.col("blocks") + F.pmod(h, "chunks")).cast("int").alias("with"), F.lit(False).alias("left"))
+    rows = rows.where(stray).withColumn("own", F.pmod(h, "blocks").cast("int"))
+    first = rows.select("key", "doc_id", "n", "c", F.col("own").alias("block"), F.explode(grid(F.col("blocks") + F.col("chunks"))).alias("with"), F.lit(True).alias("left")).where("with >= block")
+    second = rows.select("key", "doc_id", "n", "c", F.explode(grid(F.col("blocks"))).alias("block"), F.col("own").alias("with"), F.lit(False).alias("left")).where("with > block")
+    groups = scratch.keep(main.unionByName(first).unionByName(second), "groups")
+    ids = groups.select("doc_id").distinct()
+    held = sets(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])).join(nodes.select("doc_id", "sketch"), "doc_id")
+    groups = groups.join(scratch.keep(held, "sets"), "doc_id")
 
     def compare(held: list[tuple]) -> set[tuple[int, int]]:
-        left = [x for x in held if x[4]]
-        right = [x for x in held if not x[4]] or left
+        left = [x for x in held if x[3]]
+        right = [x for x in held if not x[3]] or left
+        found: set[tuple[int, int]] = set()
         if not left:
-            return set()
-        out = set()
-        sk = np.stack([np.frombuffer(x[3], np.uint32) for x in right])
-        ids, ns, cs = (np.array([x[k] for x in right]) for k in (0, 1, 2))
-        for doc, n, c, sketch, _ in left:
-            same = (sk == np.frombuffer(sketch, np.uint32)).sum(axis=1)
-            ok = (same >= BINS // 3) & (cs != c) & (ids != doc) & (DENOMINATOR * np.minimum(ns, n) >= NUMERATOR * np.maximum(ns, n))
-            out |= {(min(doc, int(x)), max(doc, int(x))) for x in ids[ok]}
-        return out
+            return found
+        theirs = np.stack([np.frombuffer(x[4], np.uint32) for x in right])
+        ids, ns, cs = (np.array([x[k] for x in right]) for k in range(3))
+        for doc, n, c, _, sketch, shingles in left:
+            at = np.flatnonzero((cs != c) & (ids != doc) & (DENOMINATOR * np.minimum(ns, n) >= NUMERATOR * np.maximum(ns, n)))
+            at = at[(theirs[at] == np.frombuffer(sketch, np.uint32)).sum(axis=1) >= EQUAL]
+            mine = np.frombuffer(shingles, np.uint64)
+            found |= {(min(doc, right[k][0]), max(doc, right[k][0])) for k in at if similar(mine, np.frombuffer(right[k][5], np.uint64))}
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("key", "block", "with", "doc_id", "n", "c", "sketch", "left")]
-            out: set[tuple[int, int]] = set()
+            cols = [batch.column(c).to_pylist() for c in ("key", "block", "with", "doc_id", "n", "c", "left", "sketch", "shingles")]
+            found: set[tuple[int, int]] = set()
             for k, b, w, *row in zip(*cols, strict=True):
                 if (k, b, w) != key:
-                    out |= compare(held)
+                    found |= compare(held)
                     key, held = (k, b, w), []
                 held.append(tuple(row))
-            yield _pairs(out)
+            yield _pairs(found)
         yield _pairs(compare(held))
 
-    # at a third of equal coordinates a similarity of 0.75 is 11 standard deviations away
     return groups.repartition("key", "block", "with").sortWithinPartitions("key", "block", "with").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those pairs (a, b) that lie in different components."""
+    of = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+    named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
     rows = sorted(found)
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], ["a", "b"])
@@ -236,10 +262,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leaders = buckets.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count("*").alias("size")).where("size > 1")
     leaders = scratch.keep(leaders.select("key", F.col("first.doc_id").alias("leader"), F.col("first.n").alias("ln")), "leaders")
     star = buckets.join(leaders, "key").where("doc_id <> leader").where(close("n", "ln")).select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = scratch.keep(verified(star, docs), "links")
+    near = scratch.keep(possible(scratch.keep(star, "star"), nodes), "near")
+    # the nearest leader of each document first: what it joins need not be compared again
+    best = near.groupBy("b").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("a")).select("a", "b")
+    links = verified(best, docs)
     labels = components(links)
-    rest = verified(leftover(buckets, leaders.select("key", "leader"), labels, nodes), docs)
-    more = scratch.keep(rest, "links")
+    rest = scratch.keep(across(near, labels), "across")
+    if not rest.isEmpty():
+        links = scratch.keep(links.union(verified(rest, docs)), "links")
+        labels = components(links)
+    more = scratch.keep(leftover(buckets, leaders.select("key", "leader"), labels, nodes, docs), "more")
     if not more.isEmpty():
         labels = components(links.union(more))
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("fa", "fb", F.coalesce("component", "rep").alias("component"))
