@@ -33,6 +33,8 @@ NUMERATOR, DENOMINATOR = 75, 100
 BLOCK = 128
 #: Equal coordinates without which a similarity of 0.75 is ruled out: 5.4 standard deviations below its mean of 96.
 EQUAL = 70
+#: Bits of the map that keeps unwanted texts out of a shuffle; a broadcast of BITS / 64 rows of two longs at most, whatever the input.
+BITS = 1 << 24
 _EMPTY = np.uint64(2**64 - 1)
 
 
@@ -120,6 +122,21 @@ def sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, shingles binary")
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text), once each, of the documents in ``ids`` (doc_id).
+
+    A join would shuffle every text to keep a few. A bitmap of hashed ids, of fixed size, first drops texts where
+    they are read; the exact join then drops those that only share a bit. A full map only stops saving.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    word, bit = F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {BITS}) % 64 as int))")
+    ids = scratch.keep(ids.distinct(), "wanted")
+    bitmap = scratch.keep(ids.groupBy(word).agg(F.bit_or(bit).alias("bits")), "bitmap")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("word", word)
+    likely = texts.join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(bit) != 0).select("doc_id", "text")
+    return likely.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Of two sorted sets: DENOMINATOR * intersection >= NUMERATOR * union."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
@@ -169,8 +186,8 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those pairs (a, b) whose full sets are similar."""
     pairs = scratch.keep(pairs.select("a", "b"), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    held = scratch.keep(sets(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
+    held = scratch.keep(sets(texts_of(docs, ids)), "sets")
     return scratch.keep(_met(pairs, held.select("doc_id", F.col("shingles").alias("data")), lambda a, b: int(similar(a, b)), np.uint64, 1).select("a", "b"), "links")
 
 
@@ -200,8 +217,7 @@ def leftover(bucket_rows: DataFrame, leaders: DataFrame, labels: DataFrame, node
     first = rows.select("key", "doc_id", "n", "c", F.col("own").alias("block"), F.explode(grid(F.col("blocks") + F.col("chunks"))).alias("with"), F.lit(True).alias("left")).where("with >= block")
     second = rows.select("key", "doc_id", "n", "c", F.explode(grid(F.col("blocks"))).alias("block"), F.col("own").alias("with"), F.lit(False).alias("left")).where("with > block")
     groups = scratch.keep(main.unionByName(first).unionByName(second), "groups")
-    ids = groups.select("doc_id").distinct()
-    held = sets(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])).join(nodes.select("doc_id", "sketch"), "doc_id")
+    held = sets(texts_of(docs, groups.select("doc_id"))).join(nodes.select("doc_id", "sketch"), "doc_id")
     groups = groups.join(scratch.keep(held, "sets"), "doc_id")
 
     def compare(held: list[tuple]) -> set[tuple[int, int]]:

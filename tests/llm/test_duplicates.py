@@ -64,6 +64,15 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert near_dedup.near_duplicates(docs.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("bits", [64, near_dedup.BITS])
+def test_texts_of(spark, monkeypatch, bits):
+    monkeypatch.setattr(near_dedup, "BITS", bits)
+    docs = spark.createDataFrame([(k, f"t{k}", 0) for k in range(300)] + [(7, "t7", 1), (None, "x", 2)], "doc_id int, text string, word int")
+    ids = spark.createDataFrame([(k,) for k in [*range(0, 300, 3), 7, 7, 999]], "doc_id bigint")
+    assert sorted(map(tuple, near_dedup.texts_of(docs, ids).collect())) == sorted((k, f"t{k}") for k in {*range(0, 300, 3), 7})
+    assert near_dedup.texts_of(docs, ids.limit(0)).isEmpty()
+
+
 def test_near_duplicates_of_the_table(spark):
     docs = whole(spark)
     assert {tuple(r) for r in near_dedup.near_duplicates(docs).collect()} == brute_components([(r["doc_id"], r["text"]) for r in docs.collect()])
