@@ -7,6 +7,9 @@ that it falsely rejects at most ``risk`` of the good documents of that stratum.
 divided by the number of strata and signals (Bonferroni); within a signal the grid is tested in
 fixed sequence, which needs no further correction. Then with probability 1 - ``level`` no
 selected cutoff falsely rejects more than ``risk``.
+
+A stratum with too few good labels to prove any cutoff is tested together with all others of that kind; the bound then holds for that pool of
+strata, not for each of them.
 """
 
 from __future__ import annotations
@@ -106,6 +109,10 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """Per stratum and signal the selected cutoff (null: none): from all labelled documents that pass the base rules.
 
+    A stratum with too few good labels to prove any cutoff borrows those of the pool of all such strata, or if that is too
+    small as well, those that hold in every stratum with enough; but none that rejects more than ``risk`` of its own good labels.
+    Strata without labels borrow as well. Without any labels there are no rows.
+
     measured: the output of ``base``, with a column ``stratum``. labels: doc_id, quality (1: good). A document with several
     labels counts as good only if none says otherwise; labels with null are not read.
     """
@@ -113,12 +120,24 @@ def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, level
     columns = {f"{s}_{i}": F.count_if(c > cut) for s, c in signals().items() for i, cut in enumerate(GRID[s])}
     known = measured.where(~F.col("base_failed")).join(good, "doc_id")
     counts = known.groupBy("stratum").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in columns.items()])
+    counts = measured.select("stratum").distinct().join(counts, "stratum", "left").na.fill(0)
     rules = F.array(*[F.struct(F.lit(s).alias("signal"), F.lit(i).alias("step"), F.lit(float(cut)).alias("cutoff"), F.col(f"{s}_{i}").alias("k")) for s, cuts in GRID.items() for i, cut in enumerate(cuts)])
-    tests = counts.withColumn("n_strata", F.count("*").over(Window.partitionBy(F.lit(1)))).select("stratum", "n", "n_strata", F.inline(rules))
-    tests = tests.withColumn("passed", binomial_tail(F.col("k"), F.col("n"), risk) <= level / (F.col("n_strata") * len(GRID)))
+    bound = lambda n_strata: level / (n_strata * len(GRID))
+    counts = counts.withColumn("n_strata", F.count_if(F.col("n") > 0).over(Window.partitionBy(F.lit(1))))
+    # whether a stratum stands alone is told by n only, so the tests keep their level; the pool takes the place of one small stratum at least in the correction
+    counts = counts.withColumn("alone", F.col("n") * F.log(F.lit(1 - risk)) <= F.log(bound(F.greatest("n_strata", F.lit(1)))))
+    tests = counts.select("stratum", "n", "n_strata", "alone", F.inline(rules)).where("n_strata > 0")
+    small = Window.partitionBy("signal", "step")
+    tests = tests.withColumns({"pool_n": F.sum(F.when(~F.col("alone"), F.col("n"))).over(small), "pool_k": F.sum(F.when(~F.col("alone"), F.col("k"))).over(small)})
+    held = lambda k, n: binomial_tail(k, n, risk) <= bound(F.col("n_strata"))
+    tests = tests.withColumn("passed", F.when(F.col("alone"), held(F.col("k"), F.col("n"))))
+    pooled = F.col("pool_n") * F.log(F.lit(1 - risk)) <= F.log(bound(F.col("n_strata")))
     so_far = Window.partitionBy("stratum", "signal").orderBy("step")
-    held = tests.withColumn("all_passed", F.min("passed").over(so_far))
-    return held.groupBy("stratum", "signal").agg(F.max_by(F.when(F.col("all_passed"), F.col("cutoff")), F.when(F.col("all_passed"), F.col("step"))).alias("cutoff"))
+    tests = tests.withColumn("own", F.min("passed").over(so_far))
+    everywhere = F.coalesce(F.min("own").over(small), F.lit(False))
+    tests = tests.withColumn("lent", F.when(pooled, held(F.col("pool_k"), F.col("pool_n"))).otherwise(everywhere) & (F.col("k") <= risk * F.col("n")))
+    tests = tests.withColumn("taken", F.coalesce("own", F.min("lent").over(so_far)))
+    return tests.groupBy("stratum", "signal").agg(F.max_by(F.when(F.col("taken"), F.col("cutoff")), F.when(F.col("taken"), F.col("step"))).alias("cutoff"))
 
 
 def _stratified(docs: DataFrame) -> DataFrame:
@@ -149,8 +168,8 @@ def verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: floa
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """``docs`` with the columns of ``base``, ``kept`` and ``failed_signals`` (which cutoffs it is above).
 
-    Null or empty texts have no words and fail the base rules. Null strata are one stratum of their own. In a stratum
-    without enough labels no cutoff is proven, and only the base rules hold. Rows with null or repeated ids are judged
+    Null or empty texts have no words and fail the base rules. Null strata are one stratum of their own. A stratum
+    without enough labels takes the cutoffs of the pool (see ``thresholds``); where that proves none either, only the base rules hold. Rows with null or repeated ids are judged
     each by their own text. Columns of ``docs`` with the names added here are replaced; empty tables give no rows.
     """
     chosen = scratch.keep(thresholds(measured(docs), labels, risk, level), "thresholds")

@@ -71,6 +71,21 @@ def test_quality_thresholds_keep_the_good_and_reject_the_bad(spark):
     assert quality.judge(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("pooled", [True, False])
+def test_quality_small_strata_borrow_cutoffs(spark, pooled):
+    """Two strata of 400 good labels prove a cutoff together only; one of 100 and one without labels take what the large one proves."""
+    good = lambda i: f"number{i} " + " ".join(f"w{i}x{j}" for j in range(60))
+    shout = lambda i: f"number{i} " + " ".join(f"W{i}X{j}" for j in range(60))
+    bad = lambda i: "## $$ " + " ".join(f"w{i}#{j}***" for j in range(60))
+    sizes = {"de": 400, "fr": 400} if pooled else {"en": 800, "de": 100}
+    rows = [(lang, good(i), 1) for lang, n in sizes.items() for i in range(n - 10)] + [(lang, shout(i) if lang == "de" else good(i + 9000), 1) for lang in sizes for i in range(10)]
+    rows += [(lang, bad(i), 0) for lang in [*sizes, "it"] for i in range(20)] + [("it", good(i), None) for i in range(20)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t, _) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, q) for i, (lang, _, q) in enumerate(rows) if lang != "it"], "doc_id bigint, quality int")
+    kept = {r["doc_id"]: r["kept"] for r in quality.verdicts(docs, labels).collect()}
+    assert all(kept[i] == (q != 0) for i, (_, _, q) in enumerate(rows))  # capitals are good in de by its own labels
+
+
 def windows_of(text, k=13):
     w = ALNUM.findall((text or "").translate(LOWER))
     return w, [tuple(w[i : i + k]) for i in range(max(len(w) - k, 0) + 1)] if w else []
