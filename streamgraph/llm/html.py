@@ -8,6 +8,7 @@ its siblings that read like text are kept, whole.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -57,10 +58,12 @@ class Page:
     """The element tree as parallel lists; a parent stands before its children. ``pieces``: (element, text) in page order."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.dropped, self.article = ["#"], [0], [False], [False]
+        self.tag, self.parent, self.dropped, self.article, self.named = ["#"], [0], [False], [False], [False]
         self.pieces: list[tuple[int, str]] = []
         self._stack = [0]
         self._parse(html)
+        if any(self.named):
+            self._drop_named()
 
     def _open(self, tag: str, attrs: str) -> None:
         if tag == "br":
@@ -81,7 +84,9 @@ class Page:
         self.tag.append(tag)
         self.parent.append(up)
         self.article.append(inside)
-        self.dropped.append(self.dropped[up] or self._unwanted(tag, attrs, self.article[up]))
+        unwanted, named = self._unwanted(tag, attrs, self.article[up])
+        self.dropped.append(self.dropped[up] or unwanted)
+        self.named.append(named)
         if tag not in VOID:
             self._stack.append(len(self.tag) - 1)
         elif tag in BLOCK:
@@ -106,29 +111,55 @@ class Page:
                 return
 
     @staticmethod
-    def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
+    def _unwanted(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
+        """Whether the element goes in any case, and whether its class or id says that it may."""
         if tag in KEPT:
-            return False
+            return False, False
         if tag in DROPPED or tag == "header" and not in_article:
-            return True
+            return True, False
         if "=" not in attrs and "hidden" not in attrs:
-            return False
+            return False, False
+        named = False
         for name, *values in _ATTR.findall(attrs):
             value = next((v for v in values if v), "")
             match name.lower():
                 case "hidden":
-                    return True
+                    return True, False
                 case "aria-hidden" if value.lower() == "true":
-                    return True
+                    return True, False
                 case "style" if _HIDDEN.search(value):
-                    return True
+                    return True, False
                 case "role" if value.lower() in ROLES:
-                    return True
+                    return True, False
                 case "class" | "id":
                     found = {x.lower() for x in _NAME.findall(value)}
-                    if found & UNLIKELY and not (found & UNLIKELY == {"header"} and in_article):
-                        return True
-        return False
+                    named = named or bool(found & UNLIKELY) and not (found & UNLIKELY == {"header"} and in_article)
+        return False, named
+
+    def _drop_named(self) -> None:
+        """Drop elements by class or id, unless they hold an article or main, or half of the page's unlinked text.
+
+        Half of the text doesn't count (long comments) beside an article or main elsewhere of more than a tenth of it.
+        """
+        n, tag, parent = len(self.tag), self.tag, self.parent
+        linked, plain, end = [False] * n, [0] * n, list(range(1, n + 1))
+        for i in range(1, n):
+            linked[i] = linked[parent[i]] or tag[i] == "a"
+        for node, piece in self.pieces:
+            if not self.dropped[node] and not linked[node]:
+                plain[node] += len(piece.strip())
+        for i in range(n - 1, 0, -1):  # elements stand in page order, so those below i are i + 1 to end[i] - 1
+            plain[parent[i]] += plain[i]
+            end[parent[i]] = max(end[parent[i]], end[i])
+        bodies = [i for i in range(1, n) if tag[i] in ("article", "main") and not self.dropped[i] and plain[i]]
+        for i in range(1, n):
+            if self.named[i] and not self.dropped[i]:
+                k = bisect_right(bodies, i)
+                holds = k < len(bodies) and bodies[k] < end[i]
+                if not holds and plain[i] and 2 * plain[i] >= plain[0]:
+                    holds = not any(10 * plain[j] > plain[i] for j in bodies if end[j] <= i or j >= end[i])
+                self.dropped[i] = not holds
+            self.dropped[i] = self.dropped[i] or self.dropped[parent[i]]
 
     def _parse(self, html: str) -> None:
         at = 0
@@ -185,7 +216,7 @@ class Page:
             length[parent[i]] += length[i]
             links[parent[i]] += links[i]
         score = [0.0] * n
-        for i in range(1, n):
+        for i in range(n):
             if own[i]:
                 points = (own[i] >= 25) + commas[i] + own[i] / 100
                 up, level = i if tag[i] in CONTAINER else parent[i], 0
@@ -194,12 +225,17 @@ class Page:
                         score[up] += points / (1, 2, 6, 9, 12, 15)[level]
                         level += 1
                     up = parent[up]
+                if not level:  # in no container: the root is it
+                    score[0] += points
         density = [links[i] / length[i] if length[i] else 0.0 for i in range(n)]
         score = [s * (1 - d) for s, d in zip(score, density, strict=True)]
         best = max(range(n), key=lambda i: (score[i], -i))
         keep = [False] * n
-        if not score[best]:
-            keep[0] = any(own) and not links[0]  # text outside of any container
+        if not best:
+            keep[0] = score[0] > 0
+            for i in range(1, n):
+                if not parent[i]:
+                    keep[i] = keep[0] and (tag[i] not in BLOCK or density[i] < 0.5)
         else:
             up = best
             while up and tag[up] != "article":
@@ -213,7 +249,7 @@ class Page:
                         prose = tag[i] in ("p", "pre", "blockquote") and (length[i] > 80 and density[i] < 0.25 or not links[i])
                         keep[i] = fair or prose or tag[i] in HEADINGS and density[i] < 0.5
         for i in range(1, n):
-            keep[i] = keep[i] or keep[parent[i]]
+            keep[i] = keep[i] or keep[parent[i]] and (parent[i] > 0 or best > 0)
         return keep
 
 

@@ -239,6 +239,25 @@ def test_html():
     assert html.main_text("<p hidden>no</p>") == "" and html.main_text("<div>" * 3000 + "deep text") == "deep text"
 
 
+PROSE = "Some words, and more words, in a paragraph that goes on for a while, as they do."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<!DOCTYPE html><title>t</title><p>{PROSE} <a href=x>link</a> more</p>", f"{PROSE} link more"),
+    (f"{PROSE} <a href=x>link</a> more", f"{PROSE} link more"),
+    (f"<ul><li><a href=1>Home</a><li><a href=2>News</a></ul><h1>T</h1><p>{PROSE}</p><p>Read <a href=x>on</a>, please.", f"T {PROSE} Read on, please."),
+    ("<a href=1>Home</a> <p><a href=2>News</a>", ""),
+    (f"<p>{PROSE}</p><div class=menu>Short</div>", PROSE),
+    (f"<html><body><div class='layout with-sidebar'><article><p>{PROSE}</p></article><div class=sidebar>Side, bar</div></div></body></html>", PROSE),
+    (f"<body><div id=page class='has-header no-comments'><p>{PROSE}</p><p>{PROSE}</p></div><p>Fine print.</p></body>", f"{PROSE} {PROSE} Fine print."),
+    (f"<body><article><div class=no-comments><p>{PROSE}</p></div></article></body>", PROSE),
+    (f"<body><article><p>{PROSE}</p></article><div class=comments><p>{PROSE}</p><p>{PROSE}</p></div></body>", PROSE),
+    (f"<body><div class=with-sidebar hidden><article><p>{PROSE}</p></article></div></body>", ""),
+])
+def test_html_without_containers_and_with_misleading_classes(page, text):
+    assert html.main_text(page) == text
+
+
 def test_html_over_the_table(spark):
     got = queries.op6_html_extract(spark, DATA).collect()
     pages = {r["page_id"]: r["html"] for r in whole(spark, "pages").collect()}
