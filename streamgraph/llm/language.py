@@ -23,6 +23,8 @@ from . import words
 
 #: Labelled documents taken per language (about), n-grams kept per language, filter slots per n-gram, lookups.
 TRAIN_DOCS, GRAMS, SLOTS, LOOKUPS = 4000, 12_000, 16, 2
+#: A language with fewer labelled documents keeps n-grams that only one of them holds.
+FEW_DOCS = 20
 GRAM = 4
 _FOLD = np.array([b if b >= 0x80 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)], np.uint8)
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -122,7 +124,8 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, n_grams: int = GRAM
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int64())], ["key", "n"])
 
     held = chosen.select(number[F.col("lang")].cast("bigint").alias("lang"), "text").mapInArrow(count, "key bigint, n bigint")
-    held = held.groupBy("key").agg(F.sum("n").alias("n")).where("n >= 2").withColumn("lang", F.shiftright("key", 32))
+    held = held.groupBy("key").agg(F.sum("n").alias("n")).withColumn("lang", F.shiftright("key", 32))
+    held = held.where((F.col("n") >= 2) | F.col("lang").isin([i for i, k in enumerate(languages) if counts[k] < FEW_DOCS]))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
     top = held.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n_grams).select("key").toArrow()
     keys = top.column("key").to_numpy()

@@ -281,6 +281,13 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_a_language_of_one_document_is_learned(spark):
+    rare = "hyvää huomenta kaikille ystäville täällä pohjoisessa metsässä"
+    learned = language.train(whole(spark).select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(-1, rare, "fi")], "doc_id bigint, text string, lang string")))
+    docs = spark.createDataFrame([(1, rare), (2, "huomenta ystäville pohjoisessa")], "doc_id bigint, text string")
+    assert [r["lang_pred"] for r in language.predict(docs, learned).collect()] == ["fi", "fi"]
+
+
 def test_bloom_filters_hold_every_gram():
     rng = np.random.default_rng(0)
     found = [rng.integers(0, 2**32, 500, dtype=np.uint32) for _ in range(11)]
