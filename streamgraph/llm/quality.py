@@ -6,7 +6,8 @@ cutoff of a fixed grid to the strictest, a cutoff is taken while an exact binomi
 that it falsely rejects at most ``risk`` of the good documents of that stratum. The level of the tests is
 divided by the number of strata and signals (Bonferroni); within a signal the grid is tested in
 fixed sequence, which needs no further correction. Then with probability 1 - ``level`` no
-selected cutoff falsely rejects more than ``risk``.
+selected cutoff falsely rejects more than ``risk``. A document goes if it is above any of the six,
+so all of them together may reject six times ``risk`` of the good documents of a stratum (6 %).
 
 A stratum with too few good labels to prove any cutoff is tested together with all others of that kind; the bound then holds for that pool of
 strata, not for each of them.
