@@ -179,7 +179,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Overlapping or touching spans as one: the longest verbatim matches."""
+    """Overlapping or touching spans as one: covered runs, whose windows are each verbatim in the item but may stand elsewhere in it."""
     out: list[list[int]] = []
     for a, b in sorted(spans):
         if out and a <= out[-1][1]:
