@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, decontaminate, html, language, licences, near_dedup, packing, quality, repeats, sql, token_counts
 
@@ -25,6 +26,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: Risk and level at which a table of a thousand documents proves rules in several strata.
+LOOSE = 0.1, 0.2
+
+
+def quality_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cutoffs themselves, at a risk that small tables can prove, and how many documents each rejects beyond the base rules."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    judged = quality.verdicts(docs, labels, *LOOSE)
+    cutoffs = quality.thresholds(judged, labels, *LOOSE).where("cutoff is not null")
+    failed = judged.where(~F.col("base_failed")).select("stratum", F.explode("failed_signals").alias("signal")).groupBy("stratum", "signal").agg(F.count("*").alias("rejected"))
+    return cutoffs.join(failed, ["stratum", "signal"], "left").na.fill(0, ["rejected"]).select("stratum", "signal", "cutoff", "rejected")
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -67,6 +81,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "quality_cutoffs": quality_cutoffs,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontaminate": op4_decontaminate,
@@ -81,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: The others have no SQL (suffix spans, packing, extraction, prediction, token counts); tests/llm holds them against brute force.
 ORACLES: dict[str, str] = {
     "op1_quality_rules": sql.quality_rules(),
+    "quality_cutoffs": sql.quality_cutoffs(*LOOSE),
     "op2_minhash_dedup": sql.near_duplicates(),
     "op4_decontaminate": sql.decontamination(),
     "op7_chat_format": sql.chat_digests(),

@@ -13,33 +13,54 @@ def words(pattern: str, table: str, key: str, lower: bool = True) -> str:
     return f"SELECT {key}, regexp_extract_all({text}, '{pattern}') AS ws FROM {table}"
 
 
-def quality_rules() -> str:
+def _quality(risk: float, level: float) -> str:
+    """The tables of quality rules up to ``chosen`` (stratum, signal, cutoff) and ``v`` (a row per document and signal)."""
     signal = {
         "symbol_share": "n_symbols / greatest(word_chars, 1)", "dup_line_share": "n_dup_lines / greatest(n_words, 1)", "repeat_share": "n_repeat_words / greatest(n_words, 1)",
         "word_length": "word_chars / greatest(n_words, 1)", "upper_share": "n_upper / greatest(word_chars, 1)", "bang_share": "n_bangs / greatest(n_words, 1)",
     }
-    grid = ", ".join(f"('{s}', {i}, {c}::DOUBLE)" for s, cuts in quality.GRID.items() for i, c in enumerate(cuts))
+    grid = ", ".join(f"('{s}', {t}, {c}::DOUBLE)" for s, cuts in quality.cutoffs().items() for t, c in enumerate(cuts))
+    chains = ", ".join(f"({i}, '{s}')" for i, chain in enumerate(quality.chains()) for s in chain)
+    shares = ", ".join(f"({i}, {x!r}::DOUBLE)" for i, x in enumerate(quality.levels(level)))
     values = " UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{s}' AS signal, {e} AS v FROM m" for s, e in signal.items())
-    tail = f"list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality.RISK}) + (n - i) * ln(1 - {quality.RISK}))))"
+    tail = lambda k, n: f"list_sum(list_transform(range(CAST({k} AS BIGINT) + 1), lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({risk}) + ({n} - i) * ln(1 - {risk}))))"
+    enough = lambda n: f"{n} * ln(1 - {risk}) <= ln((SELECT share FROM shares WHERE chain = 0) / n_strata)"
     return f"""
     WITH w AS (SELECT *, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS ws FROM documents),
     g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (SELECT doc_id, i, [ws[i], ws[i + 1], ws[i + 2]] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w))),
     r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g WHERE c > 1) GROUP BY doc_id),
-    m0 AS (SELECT w.doc_id, coalesce(lang, '') AS stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    m0 AS (SELECT w.doc_id, coalesce('=' || lang, '') AS stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
       CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
       CAST(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{SPACED}'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{SPACED}')))) AS BIGINT) AS n_dup_lines,
       CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!?]+', '', 'g')) AS n_bangs
       FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
     m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m0),
-    good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-    v AS ({values}), grid(signal, step, cutoff) AS (VALUES {grid}),
-    tests AS (SELECT stratum, v.signal, step, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS k FROM v JOIN good USING (doc_id) JOIN grid ON grid.signal = v.signal WHERE NOT base_failed GROUP BY ALL),
-    passed AS (SELECT *, {tail} <= {quality.LEVEL} / ((SELECT count(DISTINCT stratum) FROM tests) * {len(quality.GRID)}) AS passed FROM tests),
-    chosen AS (SELECT stratum, signal, max_by(cutoff, step) AS cutoff FROM (SELECT *, bool_and(passed) OVER (PARTITION BY stratum, signal ORDER BY step) AS ok FROM passed) WHERE ok GROUP BY ALL),
+    known AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+    v AS ({values}), grid(signal, step, cutoff) AS (VALUES {grid}), chains(chain, signal) AS (VALUES {chains}), shares(chain, share) AS (VALUES {shares}),
+    first AS (SELECT doc_id, stratum, chain, good, {quality.STEPS} - max((SELECT count(*) FROM grid WHERE grid.signal = v.signal AND cutoff < v)) AS step FROM v JOIN known USING (doc_id) JOIN chains USING (signal) WHERE NOT base_failed GROUP BY ALL),
+    steps AS (SELECT stratum, chain, step FROM (SELECT DISTINCT stratum FROM m), (SELECT DISTINCT chain FROM chains), range({quality.STEPS}) s(step)),
+    c AS (SELECT steps.*, count(doc_id) FILTER (good) AS n, count(doc_id) FILTER (good AND first.step <= steps.step) AS k, count(doc_id) FILTER (NOT good AND first.step <= steps.step) AS bad
+      FROM steps LEFT JOIN first ON first.stratum = steps.stratum AND first.chain = steps.chain GROUP BY ALL),
+    t0 AS (SELECT c.*, share / n_strata AS bound, n_strata, {enough('n')} AS alone FROM c JOIN shares USING (chain), (SELECT count(DISTINCT stratum) FILTER (n > 0) AS n_strata FROM c) WHERE n_strata > 0),
+    t1 AS (SELECT *, sum(n) FILTER (NOT alone) OVER r AS pool_n, sum(k) FILTER (NOT alone) OVER r AS pool_k, sum(bad) OVER r AS all_bad FROM t0 WINDOW r AS (PARTITION BY chain, step)),
+    t2 AS (SELECT *, bool_and(CASE WHEN alone THEN {tail('k', 'n')} <= bound END) OVER (PARTITION BY stratum, chain ORDER BY step) AS own FROM t1),
+    t3 AS (SELECT *, CASE WHEN {enough('pool_n')} THEN {tail('pool_k', 'pool_n')} <= bound ELSE coalesce(bool_and(own) OVER (PARTITION BY chain, step), false) END AND k <= {risk} * n AS lent FROM t2),
+    t4 AS (SELECT *, coalesce(own, bool_and(lent) OVER (PARTITION BY stratum, chain ORDER BY step)) AS taken FROM t3),
+    best AS (SELECT * FROM t4 WHERE taken QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY CASE WHEN alone THEN bad ELSE all_bad END DESC, k, step DESC, chain) = 1),
+    chosen AS (SELECT stratum, signal, cutoff FROM best JOIN chains USING (chain) JOIN grid USING (signal, step))"""
+
+
+def quality_rules() -> str:
+    return f"""{_quality(quality.RISK, quality.LEVEL)},
     above AS (SELECT DISTINCT doc_id FROM v JOIN chosen ON chosen.stratum = v.stratum AND chosen.signal = v.signal WHERE v > cutoff)
     SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND above.doc_id IS NULL AS kept FROM m LEFT JOIN above ON above.doc_id = m.doc_id"""
 
 
+def quality_cutoffs(risk: float, level: float) -> str:
+    return f"""{_quality(risk, level)}
+    SELECT chosen.stratum, chosen.signal, cutoff, count(doc_id) FILTER (v > cutoff AND NOT base_failed) AS rejected FROM chosen LEFT JOIN v ON v.stratum = chosen.stratum AND v.signal = chosen.signal GROUP BY ALL"""
+
+
 def near_duplicates() -> str:
     return f"""
     WITH RECURSIVE w AS ({words(SPACED, 'documents', 'doc_id')}),
