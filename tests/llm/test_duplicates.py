@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from streamgraph.llm import components, decontaminate, near_dedup, quality, repeats, words
+from streamgraph.llm import components, decontaminate, idsets, near_dedup, quality, repeats, scratch, words
 
 from ..conftest import DATA
 from .test_filters import DOCS, LOWER, ODD, SPACED, brute_contamination, documents, whole
@@ -64,13 +64,16 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert near_dedup.near_duplicates(docs.limit(0)).isEmpty()
 
 
-@pytest.mark.parametrize("bits", [64, near_dedup.BITS])
+@pytest.mark.parametrize("bits", [64, idsets.MOST])
 def test_texts_of(spark, monkeypatch, bits):
-    monkeypatch.setattr(near_dedup, "BITS", bits)
+    monkeypatch.setattr(idsets, "MOST", bits)
     docs = spark.createDataFrame([(k, f"t{k}", 0) for k in range(300)] + [(7, "t7", 1), (None, "x", 2)], "doc_id int, text string, word int")
     ids = spark.createDataFrame([(k,) for k in [*range(0, 300, 3), 7, 7, 999]], "doc_id bigint")
     assert sorted(map(tuple, near_dedup.texts_of(docs, ids).collect())) == sorted((k, f"t{k}") for k in {*range(0, 300, 3), 7})
     assert near_dedup.texts_of(docs, ids.limit(0)).isEmpty()
+    left = idsets.without(docs, ids.distinct())
+    assert left.columns == docs.columns
+    assert sorted(map(str, left.collect())) == sorted(str(r) for r in docs.collect() if r["doc_id"] is None or r["doc_id"] % 3 and r["doc_id"] != 7)
 
 
 def test_near_duplicates_of_the_table(spark):
@@ -134,6 +137,34 @@ def test_repeated_spans(spark):
     assert repeats.repeated_spans(docs.limit(0)).isEmpty()
 
 
+def test_repeated_spans_of_one_passage_everywhere(spark):
+    """A passage of which every document holds another part, with other words on both sides, in many small ranges and batches."""
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(120)]
+    texts = []
+    for n in range(120):
+        a = rng.randrange(70)
+        texts.append(" ".join([*(f"l{n}x{i}" for i in range(rng.randrange(3))), *passage[a : a + 50 + rng.randrange(70 - a + 1)], *(f"r{n % 5}x{i}" for i in range(rng.randrange(60)))]))
+    docs = spark.createDataFrame([(1000 - i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    want = brute_repeats([(1000 - i, t) for i, t in enumerate(texts)])
+    for rows in (10_000, 3):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            assert covered(repeats.repeated_spans(docs).collect()) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_rows_that_repeat_an_id_are_cut_each_by_its_own_spans(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    made = [(1, f"{a} z0 z1 another document", 5, "keep"), (1, "short text", 5, "keep"), (1, "short text", 6, "keep"), (2, f"x {b} y", 5, "keep"), (2, f"u {a} v", 5, "keep"), (3, f"{b} w", 5, "keep"), (None, a, 5, "keep"), (4, None, 5, "keep")]
+    docs = spark.createDataFrame(made, "doc_id int, text string, _spans int, copy string").coalesce(1)
+    got = sorted((str(r["doc_id"]), " ".join((r["text"] or "").split()), r["_spans"], r["copy"]) for r in repeats.without_repeats(docs).collect())
+    texts = [("1", made[0][1], 5), ("1", "short text", 5), ("1", "short text", 6), ("2", "u v", 5), ("2", made[3][1], 5), ("3", "w", 5), ("None", a, 5), ("4", "", 5)]
+    assert got == sorted((i, t, n, "keep") for i, t, n in texts)
+    assert repeats.without_repeats(docs).columns == docs.columns and repeats.without_repeats(docs.limit(0)).isEmpty()
+
+
 def test_texts_without_repeats(spark):
     a = " ".join(f"a{i}" for i in range(60))
     texts = [f"start {a} end", f"other\n{a}\n  tail é", a, None, ""]
@@ -182,6 +213,91 @@ def test_pipeline_stages_against_brute_force(spark):
     assert {r["doc_id"] for r in final} == four.keys()
 
 
+def odd_table(spark):
+    """Null ids and texts, empty and long texts, repeated rows and ids, ties, and columns that clash with helpers."""
+    rng = random.Random(11)
+    prose = [" ".join(f"w{n}x{i}" for i in range(80)) for n in range(8)]
+    texts = [*ODD, *prose, *prose[:3], " ".join(copies(rng, 1, [0])), "long " + " ".join(f"q{i}" for i in range(30_000))]
+    rows = [(i, t, "en", "s", len(t or ""), "flag", i, "w") for i, t in enumerate(texts)]
+    rows += [(None, prose[0], None, None, None, None, None, None), (None, prose[0], None, None, None, None, None, None), rows[14], (15, prose[7], "", "s", 1, "x", 1, "w")]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, _flag string, _word bigint, _t string")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_tables(spark, tmp_path, name):
+    docs = odd_table(spark)
+    for t in ("labels", "benchmark"):
+        whole(spark, t).limit(0 if name == "quality rules" else 1000).write.parquet(f"{tmp_path}/{t}.parquet")
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, docs, str(tmp_path))
+    assert stage(spark, docs.limit(0), str(tmp_path) + "/").isEmpty() if name != "packing" else True
+    rows = out.collect()
+    if name == "packing":
+        assert sorted((r["doc_id"] is None, r["doc_id"]) for r in rows if not r["start"]) == sorted((r["doc_id"] is None, r["doc_id"]) for r in docs.collect())
+        return
+    assert out.columns == docs.columns
+    key = lambda r: (str(r["doc_id"]), str(r["text"]), str(r["_word"]))
+    got, had = sorted(map(key, rows)), sorted(map(key, docs.collect()))
+    if name == "quality rules":
+        kept = {r["doc_id"] for r in quality.verdicts(docs, whole(spark, "labels").limit(0)).where("kept").collect()}
+        assert got == [k for k in had if (None if k[0] == "None" else int(k[0])) in kept]
+    elif name == "MinHash near-dedup":
+        ids = [k[0] for k in got]
+        assert ids.count("None") == 2 and set(got) <= set(had) and all(n == 1 for k, n in collections.Counter(got).items() if k[0] != "None")
+        assert "20" not in ids and "21" not in ids and "13" in ids  # copies of 13 and 14
+    elif name == "suffix-array dedup":
+        assert set(k for k in had if k[0] == "None") <= set(got) and len(got) < len(had)
+    else:
+        assert got == had
+
+
+def test_tables_of_a_run_go_alone(spark):
+    one, other = scratch.run(spark), scratch.run(spark)
+    with one:
+        a = scratch.keep(spark.range(3), "a")
+    with other:
+        b = scratch.keep(spark.range(4), "b")
+    c = scratch.keep(spark.range(5), "c")
+    one.close()
+    assert (b.count(), c.count()) == (4, 5)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+        a.collect()
+
+
+def test_a_frame_survives_a_pipeline_run(spark):
+    docs = whole(spark).limit(40)
+    lazy = quality.verdicts(docs, whole(spark, "labels"))
+    assert corpus_pipeline.run(spark, DATA).count() and lazy.count() == 40
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Fake:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+        sparkContext = type("Context", (), {"master": "local-cluster[3,2,1024]"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.root(Fake)
+
+
+def test_strays_send_sketches_before_sets(spark, monkeypatch):
+    """Members of one bucket that resemble nothing are never read again: no set of theirs is made."""
+    n = 600
+    rng = np.random.default_rng(5)
+    made = []
+    monkeypatch.setattr(near_dedup, "texts_of", lambda docs, ids: made.append(ids.distinct().count()) or docs.select("doc_id", "text").join(ids.distinct(), "doc_id"))
+    w = [" ".join(f"t{i}x{j}" for j in range(30)) for i in range(n)]
+    w[7] = w[3] + " more words here"
+    docs = spark.createDataFrame(list(enumerate(w)), "doc_id bigint, text string")
+    sketch = rng.integers(0, 2**32, (n, near_dedup.BINS), dtype=np.uint32)
+    sketch[7, :100] = sketch[3, :100]
+    nodes = spark.createDataFrame([(i, 26 + 3 * (i == 7), bytearray(sketch[i].tobytes())) for i in range(n)], "doc_id bigint, n bigint, sketch binary")
+    buckets = spark.createDataFrame([(1, i, 26 + 3 * (i == 7)) for i in range(n)], "key bigint, doc_id bigint, n bigint")
+    leaders = spark.createDataFrame([(1, 0)], "key bigint, leader bigint")
+    labels = spark.createDataFrame([], "id bigint, component bigint")
+    got = near_dedup.leftover(buckets, leaders, labels, nodes, docs)
+    assert [tuple(r) for r in got.collect()] == [(3, 7)] and made == [2]
+
+
 def test_nothing_here_is_imported_from_outside():
     from pathlib import Path
 

@@ -130,6 +130,59 @@ def test_long_benchmarks_are_searched_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(brute_contamination([(r["doc_id"], r["text"]) for r in whole(spark).collect()], benchmark))
 
 
+def brute_matches(text, items, k=13):
+    """Maximal matches on every diagonal, of those the ones that no other match of the item covers."""
+    w = windows_of(text)[0]
+    for item, other in items:
+        v = windows_of(other)[0]
+        least, runs = min(k, len(v)), set()
+        for a in range(len(w)):
+            for b in range(len(v)):
+                if a and b and w[a - 1] == v[b - 1]:
+                    continue
+                n = 0
+                while a + n < len(w) and b + n < len(v) and w[a + n] == v[b + n]:
+                    n += 1
+                if n >= least > 0:
+                    runs.add((a, n, b))
+        yield from ((str(item), *r) for r in runs)
+
+
+def test_matches_are_the_longest_verbatim_ones(spark, monkeypatch):
+    """Two passages of an item that touch in a document are two matches."""
+    v = [f"v{i}" for i in range(60)]
+    items = [(5, " ".join(v)), (12, "x y z"), (7, " ".join(v[30:50]))]
+    texts = [" ".join(v[:13] + v[20:40]), "a x y z b x y z", " ".join(["q", *v, "r"]), " ".join(v[:12]), None]
+    docs = documents(spark, texts).where("doc_id is not null").dropDuplicates(["doc_id"])
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    want = {i: sorted(brute_matches(t, items)) for i, t in enumerate(texts)}
+    assert {("5", 0, 13, 0), ("5", 13, 20, 20), ("7", 23, 10, 0)} - set(want[0]) == {("7", 23, 10, 0)}
+    for limit in (decontaminate.BLOCK_BYTES, 20):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", limit)
+        got = {r["doc_id"]: sorted(map(tuple, r["matches"])) for r in decontaminate.contamination(docs, bench).collect()}
+        assert got == want
+        left = decontaminate.clean(docs, bench)
+        assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {3, 4}
+
+
+def test_matches_in_repetition_stay_few():
+    test = decontaminate.Suffixes(["1"], ["w " * 3000], 13)
+    w = words.words_of(pa.RecordBatch.from_pydict({"text": ["w " * 4000]}), words.ALNUM)
+    found = decontaminate.matches_of(w, test)[0]
+    assert found[0] == {"item_id": "1", "start": 0, "length": 3000, "item_start": 0} and len(found) < 4 and max(m["start"] + m["length"] for m in found) == 4000
+
+
+def test_a_task_builds_its_suffixes_once(monkeypatch):
+    built = []
+    monkeypatch.setattr(decontaminate, "Suffixes", lambda *x: built.append(1) or type("None_", (), {"seeds": []})())
+    monkeypatch.setattr(decontaminate, "matches_of", lambda w, test: {})
+    frames = []
+    fake = type("Frame", (), {"mapInArrow": lambda self, f, schema: frames.append(f), "sparkSession": type("S", (), {"sparkContext": type("C", (), {"broadcast": staticmethod(lambda b: type("B", (), {"value": b}))})})})()
+    decontaminate._searched(fake, (["1"], ["a"]), 13, lambda part, w, m: part, "")
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a" * (2 << 20), "b"]})
+    assert len(list(frames[0](iter([batch, batch, batch])))) == 6 and built == [1]
+
+
 @pytest.fixture(scope="module")
 def library():
     return Tokenizer.from_file(queries.tokenizer())
