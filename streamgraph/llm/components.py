@@ -1,4 +1,4 @@
-"""Connected components of an edge table, without any node's neighbours in one task."""
+"""Connected components of an edge table. A hub's edges meet its label in a sort-merge join, which adaptive execution splits where they are many; nothing is collected."""
 
 from __future__ import annotations
 

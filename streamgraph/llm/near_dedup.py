@@ -17,13 +17,14 @@ bounded blocks. No pair goes unexamined because a bucket is large.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch, words
+from . import idsets, scratch, words
 from .components import components
 
 SHINGLE, BINS, BANDS, ROWS = 5, 128, 32, 4
@@ -33,8 +34,6 @@ NUMERATOR, DENOMINATOR = 75, 100
 BLOCK = 128
 #: Equal coordinates without which a similarity of 0.75 is ruled out: 5.4 standard deviations below its mean of 96.
 EQUAL = 70
-#: Bits of the map that keeps unwanted texts out of a shuffle; a broadcast of BITS / 64 rows of two longs at most, whatever the input.
-BITS = 1 << 24
 _EMPTY = np.uint64(2**64 - 1)
 
 
@@ -82,6 +81,13 @@ def bands(sketch: np.ndarray) -> np.ndarray:
         return key.view(np.int64)
 
 
+def _views(column: pa.Array, dtype: type) -> Iterator[np.ndarray]:
+    """Each binary as an array, without a copy of the batch."""
+    data, bounds = words.binary_buffer(column)
+    for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+        yield data[a:b].view(dtype)
+
+
 def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     raw = np.ascontiguousarray(data)
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * raw.itemsize).astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
@@ -123,18 +129,9 @@ def sets(docs: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text), once each, of the documents in ``ids`` (doc_id).
-
-    A join would shuffle every text to keep a few. A bitmap of hashed ids, of fixed size, first drops texts where
-    they are read; the exact join then drops those that only share a bit. A full map only stops saving.
-    """
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
-    word, bit = F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {BITS}) % 64 as int))")
+    """(doc_id, text), once each, of the documents in ``ids`` (doc_id); no other text is shuffled."""
     ids = scratch.keep(ids.distinct(), "wanted")
-    bitmap = scratch.keep(ids.groupBy(word).agg(F.bit_or(bit).alias("bits")), "bitmap")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("word", word)
-    likely = texts.join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(bit) != 0).select("doc_id", "text")
-    return likely.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return idsets.within(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ids).dropDuplicates(["doc_id"])
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -166,10 +163,9 @@ def _met(pairs: DataFrame, payload: DataFrame, measure: Callable[[np.ndarray, np
         key, head = None, None
         for batch in batches:
             found = []
-            for x, y, c, raw in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "chunk", "data")), strict=True):
-                mine = np.frombuffer(raw, dtype)
+            for x, y, c, mine in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "chunk")), _views(batch.column("data"), dtype), strict=True):
                 if x == y:
-                    key, head = (x, c), mine
+                    key, head = (x, c), mine.copy()
                 elif key == (x, c) and (score := measure(head, mine)) >= least:
                     found.append((x, y, score))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], ["a", "b", "score"])
@@ -178,9 +174,9 @@ def _met(pairs: DataFrame, payload: DataFrame, measure: Callable[[np.ndarray, np
     return grouped.mapInArrow(run, "a bigint, b bigint, score bigint")
 
 
-def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def possible(pairs: DataFrame, nodes: DataFrame, equal: int = EQUAL) -> DataFrame:
     """Those pairs (a, b) whose sketches leave the similarity possible, with ``score``, the number of equal coordinates."""
-    return _met(pairs, nodes.select("doc_id", F.col("sketch").alias("data")), lambda a, b: int((a == b).sum()), np.uint32, EQUAL)
+    return _met(pairs, nodes.select("doc_id", F.col("sketch").alias("data")), lambda a, b: int((a == b).sum()), np.uint32, equal)
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -191,13 +187,13 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return scratch.keep(_met(pairs, held.select("doc_id", F.col("shingles").alias("data")), lambda a, b: int(similar(a, b)), np.uint64, 1).select("a", "b"), "links")
 
 
-def leftover(bucket_rows: DataFrame, leaders: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def leftover(bucket_rows: DataFrame, leaders: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, equal: int = EQUAL) -> DataFrame:
     """Links (a, b), verified on full sets, among what shares a bucket but, after the leaders' links, no component.
 
     A bucket belongs to its leader's component. All members of a component's unsettled buckets that lie
     outside of it are cut into blocks of BLOCK about; each block meets, in chunks, the members inside, and
-    every block. So a pair meets once per component, not once per bucket, and a task compares two blocks, whose
-    sets it holds: by sketches first, then exactly. Pairs that don't hold never leave the task.
+    every block. So a pair meets once per component, not once per bucket, and a task compares two blocks: by their
+    sketches, then by the full sets of those documents alone that a sketch has left. Pairs that don't hold never leave the task.
     """
     named = lambda c, out: labels.select(F.col("id").alias(c), F.col("component").alias(out))
     spread = bucket_rows.join(leaders, "key").join(named("doc_id", "c"), "doc_id", "left").join(named("leader", "lc"), "leader", "left")
@@ -217,38 +213,96 @@ def leftover(bucket_rows: DataFrame, leaders: DataFrame, labels: DataFrame, node
     first = rows.select("key", "doc_id", "n", "c", F.col("own").alias("block"), F.explode(grid(F.col("blocks") + F.col("chunks"))).alias("with"), F.lit(True).alias("left")).where("with >= block")
     second = rows.select("key", "doc_id", "n", "c", F.explode(grid(F.col("blocks"))).alias("block"), F.col("own").alias("with"), F.lit(False).alias("left")).where("with > block")
     groups = scratch.keep(main.unionByName(first).unionByName(second), "groups")
-    held = sets(texts_of(docs, groups.select("doc_id"))).join(nodes.select("doc_id", "sketch"), "doc_id")
-    groups = groups.join(scratch.keep(held, "sets"), "doc_id")
+    # sketches first: only documents that some other of their group resembles go on, and only they send their sets
+    alike = scratch.keep(_compared(groups.join(nodes.select("doc_id", F.col("sketch").alias("data")), "doc_id"), _alike(equal), GROUP), "alike")
+    held = sets(texts_of(docs, alike.select("doc_id"))).join(nodes.select("doc_id", "sketch"), "doc_id")
+    held = scratch.keep(held.select("doc_id", F.concat("sketch", "shingles").alias("data")), "sets")
+    return _compared(alike.join(held, "doc_id"), _linked(equal), "a bigint, b bigint").distinct()
 
-    def compare(held: list[tuple]) -> set[tuple[int, int]]:
-        left = [x for x in held if x[3]]
-        right = [x for x in held if not x[3]] or left
-        found: set[tuple[int, int]] = set()
-        if not left:
-            return found
-        theirs = np.stack([np.frombuffer(x[4], np.uint32) for x in right])
-        ids, ns, cs = (np.array([x[k] for x in right]) for k in range(3))
-        for doc, n, c, _, sketch, shingles in left:
-            at = np.flatnonzero((cs != c) & (ids != doc) & (DENOMINATOR * np.minimum(ns, n) >= NUMERATOR * np.maximum(ns, n)))
-            at = at[(theirs[at] == np.frombuffer(sketch, np.uint32)).sum(axis=1) >= EQUAL]
-            mine = np.frombuffer(shingles, np.uint64)
-            found |= {(min(doc, right[k][0]), max(doc, right[k][0])) for k in at if similar(mine, np.frombuffer(right[k][5], np.uint64))}
-        return found
+
+GROUP = "key bigint, block int, with int, doc_id bigint, n bigint, c bigint, left boolean"
+
+
+@dataclass
+class Member:
+    doc_id: int
+    n: int
+    c: int
+    left: bool
+    data: bytes
+
+
+def _sides(held: list[Member]) -> tuple[list[Member], list[Member]]:
+    """Those of the group's block, and those that they are compared with; within one block each other."""
+    left = [x for x in held if x.left]
+    return left, [x for x in held if not x.left] or left
+
+
+def _compared(groups: DataFrame, compare: Callable[[tuple, list[Member]], list[tuple]], schema: str) -> DataFrame:
+    """``compare`` of every group (key, block, with); a task holds one at a time."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.bool_() if x.split()[1] == "boolean" else pa.int32() if x.split()[1] == "int" else pa.int64() for x in schema.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("key", "block", "with", "doc_id", "n", "c", "left", "sketch", "shingles")]
-            found: set[tuple[int, int]] = set()
-            for k, b, w, *row in zip(*cols, strict=True):
+            found: list[tuple] = []
+            cols = [batch.column(c).to_pylist() for c in ("key", "block", "with", "doc_id", "n", "c", "left")]
+            for k, b, w, doc, n, c, left, data in zip(*cols, _views(batch.column("data"), np.uint8), strict=True):
                 if (k, b, w) != key:
-                    found |= compare(held)
+                    found += compare(key, held) if held else []
                     key, held = (k, b, w), []
-                held.append(tuple(row))
-            yield _pairs(found)
-        yield _pairs(compare(held))
+                held.append(Member(doc, n, c, left, data.tobytes()))
+            yield batch_of(found)
+        yield batch_of(compare(key, held) if held else [])
+
+    rows = groups.select(*[x.split()[0] for x in GROUP.split(", ")], "data")
+    return rows.repartition("key", "block", "with").sortWithinPartitions("key", "block", "with").mapInArrow(run, schema)
+
 
-    return groups.repartition("key", "block", "with").sortWithinPartitions("key", "block", "with").mapInArrow(run, "a bigint, b bigint").distinct()
+def _resembling(x: Member, right: list[Member], sketches: np.ndarray, ids: np.ndarray, ns: np.ndarray, cs: np.ndarray, equal: int) -> np.ndarray:
+    """Which of ``right`` lie in another component and leave the similarity possible, by size and by ``equal`` coordinates."""
+    at = np.flatnonzero((cs != x.c) & (ids != x.doc_id) & (DENOMINATOR * np.minimum(ns, x.n) >= NUMERATOR * np.maximum(ns, x.n)))
+    return at[(sketches[at] == np.frombuffer(x.data, np.uint32, BINS)).sum(axis=1) >= equal]
+
+
+def _known(right: list[Member]) -> tuple:
+    return np.stack([np.frombuffer(x.data, np.uint32, BINS) for x in right]), *(np.array([getattr(x, k) for x in right]) for k in ("doc_id", "n", "c"))
+
+
+def _alike(equal: int) -> Callable[[tuple, list[Member]], list[tuple]]:
+    """Those members of a group that resemble one that they are compared with. data: the sketch."""
+
+    def compare(key: tuple, held: list[Member]) -> list[tuple]:
+        left, right = _sides(held)
+        if not left:
+            return []
+        known, met = _known(right), set()
+        for x in left:
+            at = _resembling(x, right, *known, equal)
+            met |= {(x.doc_id, x.left) for _ in at[:1]} | {(right[k].doc_id, right[k].left) for k in at}
+        return [(*key, x.doc_id, x.n, x.c, x.left) for x in held if (x.doc_id, x.left) in met]
+
+    return compare
+
+
+def _linked(equal: int) -> Callable[[tuple, list[Member]], list[tuple]]:
+    """The pairs of a group that are similar by their full sets. data: the sketch and the set."""
+    of = lambda x: np.frombuffer(x.data, np.uint64, offset=4 * BINS)
+
+    def compare(key: tuple, held: list[Member]) -> list[tuple]:
+        left, right = _sides(held)
+        if not left:
+            return []
+        known, found = _known(right), set()
+        for x in left:
+            found |= {(min(x.doc_id, right[k].doc_id), max(x.doc_id, right[k].doc_id)) for k in _resembling(x, right, *known, equal) if similar(of(x), of(right[k]))}
+        return sorted(found)
+
+    return compare
 
 
 def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -258,17 +312,13 @@ def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
-    rows = sorted(found)
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], ["a", "b"])
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, equal: int = EQUAL) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (doc_id = component_id).
 
     Null and empty texts, and texts without words, have no shingles, no links, and are kept. Rows that repeat a doc_id
     are the same document and get the same answer if their texts are equal. A row without a
     doc_id has no component (null) and is kept. Other columns are not read; an empty table gives no rows.
+    equal: pairs with fewer equal coordinates are not compared exactly (0: every pair that shares a band is).
     """
     all_rows = scratch.keep(signed(docs), "signed")
     known = all_rows.where("n > 0 and doc_id is not null")
@@ -278,7 +328,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leaders = buckets.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count("*").alias("size")).where("size > 1")
     leaders = scratch.keep(leaders.select("key", F.col("first.doc_id").alias("leader"), F.col("first.n").alias("ln")), "leaders")
     star = buckets.join(leaders, "key").where("doc_id <> leader").where(close("n", "ln")).select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    near = scratch.keep(possible(scratch.keep(star, "star"), nodes), "near")
+    near = scratch.keep(possible(scratch.keep(star, "star"), nodes, equal), "near")
     # the nearest leader of each document first: what it joins need not be compared again
     best = near.groupBy("b").agg(F.max_by("a", F.struct("score", -F.col("a"))).alias("a")).select("a", "b")
     links = verified(best, docs)
@@ -287,7 +337,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not rest.isEmpty():
         links = scratch.keep(links.union(verified(rest, docs)), "links")
         labels = components(links)
-    more = scratch.keep(leftover(buckets, leaders.select("key", "leader"), labels, nodes, docs), "more")
+    more = scratch.keep(leftover(buckets, leaders.select("key", "leader"), labels, nodes, docs, equal), "more")
     if not more.isEmpty():
         labels = components(links.union(more))
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("fa", "fb", F.coalesce("component", "rep").alias("component"))

@@ -7,6 +7,7 @@ different words (or windows) of one comparison agree with probability 2^-64.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,10 +16,10 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Texts are handled in slices of about so many bytes, which bounds the memory of a worker; one text is never cut.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 _P, _Q = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
 
 
@@ -30,6 +31,8 @@ def _table(is_word) -> np.ndarray:
 SPACED = _table(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 ALNUM = _table(lambda b: b >= 0x80 or 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A)
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+#: The low bytes of an eight that belong to a word of which so many bytes are left.
+_LEFT = np.array([2 ** (8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,29 +43,34 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
-_pow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n."""
-    have = _pow.get(int(base))
-    if have is None or len(have[0]) < n:
-        n = max(n, SLICE_BYTES + 1024)
-        with np.errstate(over="ignore"):
-            inverse = U(pow(int(base), -1, 2**64))
-            up, down = np.full(n, base, U), np.full(n, inverse, U)
-            up[0] = down[0] = U(1)
-            have = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if n <= 4 * SLICE_BYTES:  # those of one very long text are not kept
-            _pow[int(base)] = have
-    return have[0][:n], have[1][:n]
-
-
-def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
-    """Polynomial hashes of values[starts:ends], each independent of where it stands."""
-    up, down = _powers(base, len(values) + 1)
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each data[start:end], taken eight bytes at a time; nothing is kept but a number for each."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    size = end - start
     with np.errstate(over="ignore"):
-        total = np.zeros(len(values) + 1, U)
+        h = size.astype(U) * _Q
+        live, at = np.flatnonzero(size <= LONG_WORD), 0
+        while len(live):
+            eight = eights[start[live] + at] & _LEFT[np.minimum(size[live] - at, 8)]
+            h[live] = mix(h[live] + eight) * _P
+            at += 8
+            live = live[size[live] > at]
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = U(int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little"))
+    return h
+
+
+def ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of values[starts:ends] (word hashes), each independent of where it stands."""
+    n = len(values) + 1
+    with np.errstate(over="ignore"):
+        up, down = np.full(n, _Q, U), np.full(n, U(pow(int(_Q), -1, 2**64)), U)
+        up[0] = down[0] = U(1)
+        np.multiply.accumulate(up, out=up)
+        np.multiply.accumulate(down, out=down)
+        total = np.zeros(n, U)
         np.cumsum(values * up[: len(values)], out=total[1:])
         return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U) * _Q)
 
@@ -83,23 +91,21 @@ class Words:
         self.start, self.end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
-        self._bytes = _BYTE[_LOWER[data] if lower else data]
-        self.hash = _ranges(self._bytes, self.start, self.end, _P)
-        del self._bytes
+        self.hash = _hashes(_LOWER[data] if lower else data, self.start, self.end)
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each window of k words within a text: its hash, its first word, its text."""
         per = np.maximum(self.count - k + 1, 0)
         text = np.repeat(np.arange(len(per)), per)
         at = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per) + self.first[:-1][text]
-        return _ranges(self.hash, at, at + k, _Q), at, text
+        return ranges(self.hash, at, at + k), at, text
 
     def whole(self) -> np.ndarray:
         """A hash of each text's whole sequence of words."""
-        return _ranges(self.hash, self.first[:-1], self.first[1:], _Q)
+        return ranges(self.hash, self.first[:-1], self.first[1:])
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return _ranges(self.hash, starts, ends, _Q)
+        return ranges(self.hash, starts, ends)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +119,17 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def binary_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a binary column without nulls."""
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    body = column.buffers()[2]
+    data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None and body.size else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
 def sliced(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``limit`` bytes of text, one row at least."""
     if not batch.num_rows:
