@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DAY, YEAR_DAYS, MONTH_DAYS = 86_400, 365, 30
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; a lambda that names the value itself computes it again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tokens(text: Column) -> Column:
     """Split at every single space; empty tokens stay."""
     return F.split(text, " ", -1)
@@ -64,6 +71,23 @@ def duration_seconds(iso: Column) -> Column:
     return F.when(valid, F.when(iso.startswith("-"), -total).otherwise(total))
 
 
+def duration_text(iso: Column) -> Column:
+    """An ISO-8601 duration as ``2h 5m 7s``: its largest unit that is not zero and all below; whole milliseconds where all are zero. A month counts
+    as four weeks and a year as twelve such months here, unlike in ``duration_seconds``. Null if it is no duration.
+    """
+    # Hours of the larger units.
+    hours_of = {"Y": 24 * 7 * 4 * 12, "M": 24 * 7 * 4, "W": 24 * 7, "D": 24}
+    date, time = F.regexp_extract(iso, r"^-?P([^T]*)", 1), F.regexp_extract(iso, r"T(.*)$", 1)
+    part = lambda text, unit: F.coalesce(F.regexp_extract(text, rf"(\d+(?:\.\d+)?){unit}", 1).try_cast("double"), F.lit(0.0))
+    hours = sum((part(date, u) * n for u, n in hours_of.items()), part(time, "H"))
+    minutes, seconds = part(time, "M"), part(time, "S")
+    whole = F.floor(seconds).cast("string")
+    shown = lambda x: F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+    text = F.when(hours > 0, F.concat(shown(hours), F.lit("h "), shown(minutes), F.lit("m "), whole, F.lit("s")))
+    text = text.when(minutes > 0, F.concat(shown(minutes), F.lit("m "), whole, F.lit("s"))).when(seconds >= 1, F.concat(whole, F.lit("s")))
+    return F.when(duration_seconds(iso).isNotNull(), text.otherwise(F.concat(F.floor(seconds * 1000).cast("string"), F.lit("ms"))))
+
+
 def duration_iso(seconds: Column) -> Column:
     """Seconds as ``P[nD]T[nH][nM]nS``, to the microsecond, without trailing zeros."""
     micros = F.round(F.abs(seconds) * 1_000_000).cast("bigint")
@@ -102,6 +126,29 @@ def prefixed_keys(entries: Column, prefix: str = "b_") -> Column:
     return F.transform_keys(entries, lambda k, _: F.concat(F.lit(prefix), k))
 
 
+def _without_keys(entries: Column, other: Column) -> Column:
+    return F.map_filter(entries, lambda k, _: ~F.map_contains_key(other, k))
+
+
+def merged_entries(first: Column, *more: Column) -> Column:
+    """One map of several; where keys are equal the last map wins. A null map counts as empty."""
+    out = first
+    for m in more:
+        kept = _without_keys(out, m)
+        out = F.when(m.isNull(), out).when(out.isNull(), m).otherwise(F.map_concat(kept, m))
+    return out
+
+
+def new_id() -> Column:
+    """A random identifier; a task that runs again makes others, so write it before anything refers to it."""
+    return F.expr("uuid()")
+
+
+def heartbeat(now: Column | None = None) -> Column:
+    """Seconds since 1970 of ``now``, else of the moment at which the query runs."""
+    return F.unix_timestamp(F.current_timestamp() if now is None else now.cast("timestamp"))
+
+
 def last_minutes(now: Column, n: int = 10) -> Column:
     """Minutes of the hour of the last ``n`` minutes, the current one first."""
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.pmod(F.minute(now) - i, F.lit(60)))

@@ -23,6 +23,13 @@ def merged_map(df: DataFrame, key: str, value: str, order: str, *group: str, out
     return last.groupBy(*group).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value)))).alias(out))
 
 
+def grouped(df: DataFrame, function, schema: str, *keys: str) -> DataFrame:
+    """A user's aggregate: ``function(keys, table)`` of each group's Arrow table gives a table of ``schema``. A group lies in one task, so
+    it is for groups that are bounded; sums and the like belong in ``groupBy``, and running state in ``streaming.state``.
+    """
+    return df.groupBy(*keys).applyInArrow(function, schema)
+
+
 def replicas(df: DataFrame, n: int) -> DataFrame:
     """``n`` copies of each row, numbered; a narrow operator."""
     return df.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("replica"))

@@ -2,12 +2,49 @@
 
 from __future__ import annotations
 
+from enum import Enum
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import heartbeat
+
+#: Seconds without a heartbeat after which a process counts as gone.
+EVICT_S = 30
+
 MAX_PER_PARTITION, MAX_TOTAL = 3000, 10_000
 
 
+class OnFailure(Enum):
+    """What becomes of a record that failed: it is given up, it holds its position until a replay succeeds, or the service gives it out again."""
+
+    SKIP, REPLAY, REDELIVER = "skip", "replay", "redeliver"
+
+
+def settled(status: Column, policy: OnFailure) -> Column:
+    """Whether a record of that status (success, failed, or anything else: open) is done with, for ``commit_offsets`` and ``uncompleted``."""
+    done = F.coalesce(status == "success", F.lit(False))
+    return done | F.coalesce(status == "failed", F.lit(False)) if policy is OnFailure.SKIP else done
+
+
+def again(records: DataFrame, status: str, policy: OnFailure) -> DataFrame:
+    """The records that the engine itself has to process again, with ``attempt`` one higher; a service that redelivers needs no help."""
+    rows = records.where(F.col(status) == "failed") if policy is OnFailure.REPLAY else records.limit(0)
+    attempt = F.coalesce("attempt", F.lit(0)) if "attempt" in records.columns else F.lit(0)
+    return rows.withColumn("attempt", (attempt + 1).cast("int"))
+
+
+def acknowledged(records: DataFrame, status: str, policy: OnFailure) -> DataFrame:
+    """The records whose receipts go back to the service: without a redelivery of failed ones, all that are settled."""
+    return records.where(settled(F.col(status), policy))
+
+
+def evicted(heartbeats: DataFrame, now: Column, after_s: int = EVICT_S) -> DataFrame:
+    """(process, last_seen) of processes (process, ts) whose last heartbeat is more than ``after_s`` seconds before ``now``."""
+    seen = heartbeats.groupBy("process").agg(F.max(heartbeat(F.col("ts"))).alias("last_seen"))
+    return seen.where(F.col("last_seen") < heartbeat(now) - after_s)
+
+
 def commit_offsets(records: DataFrame, partition: str, offset: str, done: Column) -> DataFrame:
     """(partition, commit): the smallest unfinished offset, or one past the largest."""
     return records.groupBy(partition).agg(F.coalesce(F.min(F.when(~done, F.col(offset))), F.max(offset) + 1).alias("commit"))

@@ -37,7 +37,11 @@ def competing(df: DataFrame, n: int, key: str) -> list[DataFrame]:
     return [df.where(slot == i) for i in range(n)]
 
 
-def ring(nodes: dict[str, int], slots: int = 40, points: int = 3) -> list[tuple[int, str]]:
+# Fixed values of the ring: digests of a node, and points of a digest.
+SLOTS, POINTS = 40, 3
+
+
+def ring(nodes: dict[str, int], slots: int = SLOTS, points: int = POINTS) -> list[tuple[int, str]]:
     """(point, node) sorted: each node has ``slots`` digests in proportion to its weight, each giving ``points`` points."""
     total = sum(nodes.values())
     found = []
@@ -51,10 +55,21 @@ def ring(nodes: dict[str, int], slots: int = 40, points: int = 3) -> list[tuple[
 def ring_routed(df: DataFrame, key: str, nodes: dict[str, int]) -> DataFrame:
     """``df`` with ``node``: the node of the first ring point above the key's, the first of all past the end.
 
-    The ring is a literal of a few points per node, searched by halves within the row.
+    The ring is a literal of a few points per node, searched by halves within the row: each halving adds its step to the number of points not above the key.
     """
     table = ring(nodes)
-    points = F.array(*[F.lit(p) for p, _ in table])
-    names = F.array(*[F.lit(n) for _, n in table])
-    at = F.size(F.filter(points, lambda p: p <= F.col("_ring")))
-    return df.withColumn("_ring", ring_key(F.col(key))).withColumn("node", F.element_at(names, F.pmod(at, F.lit(len(table))) + 1)).drop("_ring")
+    size = len(table)
+    points, names = (F.array(*[F.lit(x[k]) for x in table]) for k in range(2))
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(size.bit_length()))])
+    position = ring_key(F.col(key))
+    step = lambda p: lambda at, half: F.when(F.get(points, at + half - 1) <= p, at + half).otherwise(at)
+    at = F.transform(F.array(position), lambda p: F.aggregate(halves, F.lit(0), step(p)))[0]
+    return df.withColumn("node", F.get(names, F.pmod(at, F.lit(size))))
+
+
+def iterate_nodes(nodes: dict[str, int], key: str) -> list[str]:
+    """All nodes, each once, in the order in which the ring meets them from the key on."""
+    table = ring(nodes)
+    position = int.from_bytes(hashlib.md5(key.encode()).digest()[:4], "little")
+    at = sum(p <= position for p, _ in table)
+    return list(dict.fromkeys(n for _, n in table[at:] + table[:at]))

@@ -58,6 +58,11 @@ def process(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterat
     return df.mapInArrow(function, schema)
 
 
+def shuffled(df: DataFrame, seed: int | None = None) -> DataFrame:
+    """Rows in random order."""
+    return df.orderBy(F.rand(seed))
+
+
 def fan_in(*frames: DataFrame) -> DataFrame:
     """All rows of all producers of a stream; columns that some lack are null."""
     out = frames[0]

@@ -54,6 +54,11 @@ def rollup(stats: DataFrame, name: str) -> DataFrame:
     return out.withColumn("avg_time_taken_s", F.col("time_taken_s") / F.greatest("total_frequency", F.lit(1)) / F.col("processes"))
 
 
+def displayed(stats: DataFrame, name: str) -> DataFrame:
+    """Groups by name, then processes by name: the order of a status page, which is small."""
+    return stats.withColumn("group", F.substring_index(name, "-", 1)).orderBy("group", name)
+
+
 def recent(failures: DataFrame, by: str, order: list[Column], n: int = 20) -> DataFrame:
     """The last ``n`` failures of each process, newest first, with their rank."""
     w = Window.partitionBy(by).orderBy(*order)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import aggregates, brokers, routing, rows, stats, tracking
+from ..sinks.messages import KAFKA_BYTES, SQS_BYTES, guarded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,14 +49,17 @@ def word_count_union(spark, sf_dir):
 @query("SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY lang, word")
 def doc_word_map_explode(spark, sf_dir):
     """A map of counts per document, built within the row, exploded and summed by language."""
-    words = F.filter(fn.tokens(F.col("text")), lambda w: w.isNotNull())
-    counted = lambda w: F.map_from_entries(F.transform(F.array_distinct(w), lambda k: F.struct(k, F.lit(1))))
-    # distinct tokens form the map; each token then adds the number of its repeats
-    maps = table(spark, sf_dir, "documents").select("doc_id", "lang", words.alias("w"))
-    once = rows.explode_map(maps.select("lang", counted(F.col("w")).alias("m")), "m", "word", "n")
-    again = maps.select("lang", F.explode("w").alias("word"), F.lit(1).alias("n"))
-    both = once.select("lang", "word", F.lit(0).alias("n")).unionByName(again)
-    return both.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = F.array_sort(F.filter(fn.tokens(F.col("text")), lambda w: w.isNotNull()))
+
+    def ends(w):
+        """Of sorted words the place of the last of each run of equal ones; it is so far from the run before as the run is long."""
+        return F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.coalesce(F.get(w, i) != F.get(w, i - 1), F.lit(True)))
+
+    def entries(w, last):
+        return F.map_from_entries(F.transform(last, lambda i, k: F.struct(F.get(w, i - 1).alias("word"), (i - F.coalesce(F.get(last, k - 1), F.lit(0))).alias("n"))))
+
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("lang", words.alias("w"))
+    return rows.explode_map(docs.select("lang", fn.let(F.col("w"), lambda w: fn.let(ends(w), lambda last: entries(w, last))).alias("m")), "m", "word", "n").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 # ---- upserts
@@ -89,6 +93,30 @@ def bind_aliases(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey").withColumnsRenamed({c: f"b_{c}" for c in ("c_name", "c_nationkey")})
 
 
+@query("SELECT user_id, event_type AS key, CAST(max(event_id) AS VARCHAR) AS value FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL")
+def map_merge_last_wins(spark, sf_dir):
+    """One map of event types per user, the latest event winning; exploded again to compare."""
+    events = table(spark, sf_dir, "events").where("user_id is not null and event_type is not null").select("user_id", "event_type", "event_id", F.col("event_id").cast("string").alias("id"))
+    merged = aggregates.merged_map(events, "event_type", "id", "event_id", "user_id")
+    return rows.explode_map(merged, "entries", "key", "value").select("user_id", "key", "value")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'right' ELSE 'left' END AS a, CASE WHEN event_id % 3 = 1 THEN NULL ELSE 'kept' END AS b FROM events""")
+def map_merge_expression(spark, sf_dir):
+    """Two maps of a row, the second winning; the second lacks a key, or is null."""
+    one = F.create_map(F.lit("a"), F.lit("left"), F.lit("b"), F.when(F.col("event_id") % 3 != 1, "kept"))
+    two = F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("a"), F.lit("right")))
+    merged = fn.merged_entries(one, two)
+    return table(spark, sf_dir, "events").select("event_id", merged["a"].alias("a"), merged["b"].alias("b"))
+
+
+@query("SELECT event_id, event_type || '!' AS content, CAST(user_id AS VARCHAR) AS key FROM events")
+def derived_rows(spark, sf_dir):
+    """Spin-offs keep what they come from; content and key are new."""
+    events = table(spark, sf_dir, "events").select("event_id", F.lit("old").alias("content"), "event_type", "user_id")
+    return rows.derive(events, F.concat("event_type", F.lit("!")), F.col("user_id").cast("string")).select("event_id", "content", "key")
+
+
 # ---- message trees: an order is a root, its lines are spin-offs; a shipped line (F) is acknowledged, a returned one (R) failed
 
 ACK = "((l_orderkey * 7 + l_linenumber) * 2654435761) % 9007199254740881"
@@ -224,9 +252,19 @@ def seconds_left(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(fn.seconds_left(F.col("value"), F.lit(3)), 6).alias("seconds_left"))
 
 
-@query(f"SELECT i AS back, CAST((minute({NOW}) - i + 60) % 60 AS INTEGER) AS minute FROM range(10) t(i)")
+@query("SELECT event_id, i AS back, CAST((minute(ts) - i + 60) % 60 AS INTEGER) AS minute FROM events, range(10) t(i)")
 def last_minutes(spark, sf_dir):
-    return spark.range(1).select(F.posexplode(fn.last_minutes(F.expr(SPARK_NOW))).alias("back", "minute")).select(F.col("back").cast("bigint").alias("back"), "minute")
+    out = table(spark, sf_dir, "events").select("event_id", F.posexplode(fn.last_minutes(F.col("ts"))).alias("back", "minute"))
+    return out.withColumn("back", F.col("back").cast("bigint"))
+
+
+@query("SELECT \"group\", name, n, CAST(row_number() OVER (ORDER BY \"group\", name) AS INTEGER) AS place FROM (SELECT event_type AS \"group\", event_type || '-' || (user_id % 4) AS name, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY ALL)")
+def display_order(spark, sf_dir):
+    """The status page's order, read off the sorted rows (a few processes)."""
+    name = F.concat_ws("-", "event_type", (F.col("user_id") % 4).cast("string"))
+    processes = aggregates.counts(table(spark, sf_dir, "events").where("user_id is not null").select(name.alias("name")), "name")
+    shown = stats.displayed(processes, "name").coalesce(1)
+    return shown.withColumn("place", (F.monotonically_increasing_id() + 1).cast("int"))
 
 
 # ---- routing
@@ -263,11 +301,12 @@ def hash_routed_count(spark, sf_dir):
     return aggregates.counts(routing.routed(table(spark, sf_dir, "events"), routing.Route.HASH, 8, "user_id"), "event_type")
 
 
-@query("SELECT event_id, user_id FROM events")
+@query("SELECT event_id, user_id, CAST(1 AS BIGINT) AS consumers FROM events")
 def competing_consumers(spark, sf_dir):
-    """Three consumers share a stream: their shares are disjoint and together whole."""
+    """Three consumers share a stream: their shares are whole together, and no row is in two of them."""
     shares = routing.competing(table(spark, sf_dir, "events").select("event_id", "user_id"), 3, "event_id")
-    return rows.fan_in(*shares)
+    named = rows.fan_in(*[s.withColumn("consumer", F.lit(i)) for i, s in enumerate(shares)])
+    return named.groupBy("event_id", "user_id").agg(F.count_distinct("consumer").alias("consumers"))
 
 
 # ---- sources: batches, offsets, throttling, leases
@@ -287,6 +326,33 @@ def commit_low_water(spark, sf_dir):
     return brokers.commit_offsets(_records(spark, sf_dir), "partition", "offset", F.col("event_type") != "error")
 
 
+@query(
+    """SELECT policy, user_id % 4 AS partition, coalesce(min(CASE WHEN event_type = 'error' AND policy <> 'skip' OR event_type = 'view' THEN event_id END), max(event_id) + 1) AS commit,
+    CASE WHEN policy = 'replay' THEN count(*) FILTER (event_type = 'error') ELSE 0 END AS replayed, count(*) FILTER (event_type NOT IN ('error', 'view') OR event_type = 'error' AND policy = 'skip') AS acknowledged
+    FROM events, (VALUES ('skip'), ('replay'), ('redeliver')) p(policy) GROUP BY policy, user_id % 4"""
+)
+def failure_policies(spark, sf_dir):
+    """Errors are failed records, views are open ones: what each policy commits, processes again and acknowledges."""
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "open").otherwise("success")
+    records = _records(spark, sf_dir).withColumn("status", status)
+
+    def by(policy):
+        committed = brokers.commit_offsets(records, "partition", "offset", brokers.settled(F.col("status"), policy))
+        replayed = brokers.again(records, "status", policy).groupBy("partition").agg(F.sum("attempt").alias("replayed"))
+        acknowledged = brokers.acknowledged(records, "status", policy).groupBy("partition").agg(F.count("*").alias("acknowledged"))
+        out = committed.join(replayed, "partition", "left").join(acknowledged, "partition", "left").na.fill(0, ["replayed", "acknowledged"])
+        return out.withColumn("policy", F.lit(policy.value))
+
+    return rows.fan_in(*map(by, brokers.OnFailure))
+
+
+@query(f"SELECT user_id AS process, CAST(epoch(max(ts)) // 1 AS BIGINT) AS last_seen FROM events GROUP BY user_id HAVING CAST(epoch(max(ts)) // 1 AS BIGINT) < CAST(epoch({NOW}) // 1 AS BIGINT) - 86400")
+def evicted_processes(spark, sf_dir):
+    """Users whose last event is more than a day before now."""
+    beats = table(spark, sf_dir, "events").select(F.col("user_id").alias("process"), F.col("ts").cast("timestamp").alias("ts"))
+    return brokers.evicted(beats, F.expr(SPARK_NOW), 86_400)
+
+
 @query(
     """SELECT partition, uncompleted, uncompleted > 500 OR sum(uncompleted) OVER () > 10000 AS blocked
     FROM (SELECT user_id % 4 AS partition, count(*) FILTER (event_type = 'error') AS uncompleted FROM events GROUP BY ALL)"""
@@ -330,11 +396,14 @@ def dead_letters(spark, sf_dir):
     return bad.select("event_id", "error")
 
 
-@query("SELECT event_id, TRY_CAST(CASE WHEN event_id % 11 = 0 THEN 'x' ELSE CAST(user_id AS VARCHAR) END AS BIGINT) AS value FROM events WHERE event_id % 11 <> 0 AND user_id IS NOT NULL")
+@query(
+    """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE user_id END AS value, CASE WHEN event_id % 11 = 0 THEN 'not a number' END AS error FROM events"""
+)
 def error_capture(spark, sf_dir):
+    """Rows with a value, and the dead letters with their error: both sides, every row in one of them."""
     body = F.when(F.col("event_id") % 11 == 0, "x").otherwise(F.col("user_id").cast("string"))
-    good, _ = rows.captured(table(spark, sf_dir, "events").select("event_id", body.alias("body")), F.col("body").try_cast("bigint"), "not a number", "body")
-    return good.where("value is not null").select("event_id", "value")
+    good, bad = rows.captured(table(spark, sf_dir, "events").select("event_id", body.alias("body")), F.col("body").try_cast("bigint"), "not a number", "body")
+    return rows.fan_in(good.select("event_id", "value"), bad.select("event_id", "error"))
 
 
 # ---- scalar functions
@@ -345,8 +414,30 @@ def error_capture(spark, sf_dir):
     UNION ALL SELECT 'pages', page_id, octet_length(encode(html)), octet_length(encode(html)) > 16384 FROM pages"""
 )
 def oversize_messages(spark, sf_dir):
-    one = lambda name, key, text: table(spark, sf_dir, name).select(F.lit(name).alias("source"), F.col(key).alias("id"), fn.n_bytes(F.col(text)).alias("n_bytes"))
-    return rows.fan_in(one("documents", "doc_id", "text"), one("pages", "page_id", "html")).withColumn("oversize", F.col("n_bytes") > 16384)
+    one = lambda name, key, text: table(spark, sf_dir, name).select(F.lit(name).alias("source"), F.col(key).alias("id"), F.col(text).alias("body"))
+    good, bad = guarded(rows.fan_in(one("documents", "doc_id", "text"), one("pages", "page_id", "html")), "body", 16384)
+    both = rows.fan_in(good.withColumn("oversize", F.lit(False)), bad.drop("error").withColumn("oversize", F.lit(True)))
+    return both.select("source", "id", fn.n_bytes(F.col("body")).alias("n_bytes"), "oversize")
+
+
+@query("SELECT doc_id, octet_length(encode(text)) <= 262144 AS queue_fits, octet_length(encode(text)) <= 1048576 AS topic_fits FROM documents")
+def message_limits(spark, sf_dir):
+    """The guards of both services."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fits = lambda limit, out: rows.fan_in(*[side.select("doc_id", F.lit(k == 0).alias(out)) for k, side in enumerate(guarded(docs, "text", limit))])
+    return fits(SQS_BYTES, "queue_fits").join(fits(KAFKA_BYTES, "topic_fits"), "doc_id")
+
+
+@query(
+    """SELECT event_id, CASE WHEN h > 0 THEN h || 'h ' || m || 'm ' || s || 's' WHEN m > 0 THEN m || 'm ' || s || 's' WHEN s > 0 THEN s || 's' ELSE '500ms' END AS text FROM (
+    SELECT event_id, event_id % 2 * 8064 + event_id % 3 * 672 + event_id % 5 * 168 + event_id % 7 * 24 + event_id % 4 AS h, event_id % 6 AS m, event_id % 8 AS s FROM events)"""
+)
+def duration_texts(spark, sf_dir):
+    """Years, months, weeks, days, hours, minutes and seconds; half a second where the seconds are none."""
+    e = F.col("event_id")
+    parts = F.concat(*[F.concat((e % n).cast("string"), F.lit(u)) for n, u in ((2, "Y"), (3, "M"), (5, "W"), (7, "D"))], F.lit("T"), *[F.concat((e % n).cast("string"), F.lit(u)) for n, u in ((4, "H"), (6, "M"))])
+    iso = F.concat(F.lit("P"), parts, F.when(e % 8 == 0, "0.5").otherwise((e % 8).cast("string")), F.lit("S"))
+    return table(spark, sf_dir, "events").select("event_id", fn.duration_text(iso).alias("text"))
 
 
 @query("SELECT event_id, 'PT' || (event_id // 60) || 'M' || (event_id % 60) || 'S' AS iso, CAST(event_id AS DOUBLE) AS seconds FROM events")

@@ -7,13 +7,16 @@ same definition runs on bounded frames and on streams; Catalyst sees one plan pe
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import routing, rows
+from .. import functions as fn
+from ..operators import routing, rows, stats
 from ..operators.routing import Route
 
 
@@ -38,7 +41,7 @@ class Pipeline:
         self._steps: list[Step] = []
         self._sinks: list[tuple[str, str, Callable]] = []
         self._built: dict[str, DataFrame] = {}
-        self.queries: list[StreamingQuery] = []
+        self._started: dict[str, StreamingQuery] = {}
 
     def definition(self) -> None:
         """Declares the graph; called once by ``build``."""
@@ -99,19 +102,55 @@ class Pipeline:
         """Hands each sink its stream; started queries are kept for ``status`` and ``stop``."""
         self.build()
         out = {name: function(self._built[reads]) for name, reads, function in self._sinks}
-        self.queries += [q for q in out.values() if hasattr(q, "awaitTermination")]
+        self._started |= {name: q for name, q in out.items() if hasattr(q, "awaitTermination")}
         return out
 
+    @property
+    def queries(self) -> list[StreamingQuery]:
+        return list(self._started.values())
+
     def status(self) -> list[dict]:
         return [{"name": q.name, "id": str(q.id), "active": q.isActive, "status": q.status, "last": q.lastProgress} for q in self.queries]
 
-    def wait(self, timeout: float | None = None) -> None:
-        """Returns when any query ends; one that died stops the others, and its error is raised."""
-        try:
-            self.spark.streams.awaitAnyTermination(timeout) if timeout else self.spark.streams.awaitAnyTermination()
-        finally:
-            if any(not q.isActive for q in self.queries):
-                self.stop()
+    def status_frame(self, control: DataFrame, trees: DataFrame, processes: DataFrame, now: Column) -> DataFrame:
+        """One row per process (process, name): its state, what waits, averages, percentile, the last failures and the minutes' counts.
+
+        control: progress events; trees: as ``tracking.folded`` gives them. Every part is an aggregate by process, so the rows are as many as processes.
+        """
+        events = control.withColumnRenamed("process_name", "process")
+        recent = events.where((F.col("ts") <= now) & (F.col("ts") > now - F.expr("INTERVAL 3 MINUTES"))).groupBy("process").agg(F.count("*").alias("recent"))
+        minutes = stats.minute_histogram(events, "process", "ts", now, error_count="is_fail", success_count="not is_fail")
+        bars = minutes.groupBy("process").agg(F.sort_array(F.collect_list(F.struct("minute", "error_count", "success_count"))).alias("minutes"))  # 60 at most
+        failures = stats.recent(events.where("is_fail"), "process", [F.desc("ts"), F.desc("seq")])
+        last = failures.groupBy("process").agg(F.sort_array(F.collect_list(F.struct("rank", "ts", "root_id", "error_message"))).alias("failures"))  # 20 at most
+        out = processes.select("process", "name").join(stats.waiting(trees, processes), "process", "left")
+        for part in (stats.averages(events, "process"), stats.rank_percentile(stats.frequencies(events, "process"), "process"), recent, bars, last):
+            out = out.join(part, "process", "left")
+        out = out.na.fill(0, ["waiting", "recent"])
+        return out.withColumn("state", fn.state(F.col("waiting"), F.col("recent"))).withColumn("seconds_left", fn.seconds_left(F.col("avg_time_taken_s"), F.col("waiting")))
+
+    def wait(self, timeout: float | None = None, restarts: int = 0, pause_s: float = 10.0) -> None:
+        """Returns when all queries have ended, or after ``timeout`` seconds.
+
+        A query that dies is started again from its checkpoint by its own sink after ``pause_s``, up to ``restarts`` times; the others go on. After
+        that the others are stopped, and its error is raised.
+        """
+        until = None if timeout is None else time.monotonic() + timeout
+        left = dict.fromkeys(self._started, restarts)
+        while any(q.isActive or q.exception() for q in self._started.values()):
+            for name, query in list(self._started.items()):
+                if query.isActive or not query.exception():
+                    continue
+                if not left[name]:
+                    self.stop()
+                    raise query.exception()
+                left[name] -= 1
+                time.sleep(pause_s)
+                _, reads, function = next(s for s in self._sinks if s[0] == name)
+                self._started[name] = function(self._built[reads])
+            if until is not None and time.monotonic() >= until:
+                return
+            time.sleep(0.1)
 
     def stop(self) -> None:
         for q in self.queries:

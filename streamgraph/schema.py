@@ -12,6 +12,7 @@ CONTROL = (
     "sender string, duration_s double, destination string, error_message string, message_content string"
 )
 LEASE = "snapshot int, shard_id string, checkpoint decimal(38,0), worker_id string, heartbeat bigint"
+# The fields of the billing service.
 INVOICE = (
     "uuid string, invoice_number string, vat_number string, total_in_cents bigint, tax_in_cents bigint, subtotal_in_cents bigint, state string, "
     "collection_method string, currency string, account string, created_at string, updated_at string, closed_at string"

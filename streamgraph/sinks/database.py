@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.aggregates import last_by_key
 
@@ -24,9 +26,16 @@ class Database:
     driver: str = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
     properties: dict[str, str] = field(default_factory=dict)
 
-    def execute(self, spark: SparkSession, *statements: str) -> None:
+    def _connect(self, spark: SparkSession):
+        """A connection with all of ``properties``, user and password among them."""
         spark._jvm.java.lang.Class.forName(self.driver)
-        connection = spark._jvm.java.sql.DriverManager.getConnection(self.url)
+        given = spark._jvm.java.util.Properties()
+        for k, v in self.properties.items():
+            given.setProperty(k, v)
+        return spark._jvm.java.sql.DriverManager.getConnection(self.url, given)
+
+    def execute(self, spark: SparkSession, *statements: str) -> None:
+        connection = self._connect(spark)
         try:
             for sql in statements:
                 statement = connection.createStatement()
@@ -38,7 +47,7 @@ class Database:
             connection.close()
 
     def exists(self, spark: SparkSession, table: str) -> bool:
-        connection = spark._jvm.java.sql.DriverManager.getConnection(self.url)
+        connection = self._connect(spark)
         try:
             found = connection.getMetaData().getTables(None, None, table.upper(), None)
             return found.next()
@@ -52,24 +61,22 @@ class Database:
             self.execute(spark, f"CREATE TABLE {table} ({columns})")
 
     def write(self, df: DataFrame, number: int = 0) -> None:
-        """One batch. With ``order`` the last row per key wins; without it keys must be unique in a batch."""
+        """One batch. The last row of each key wins: by ``order``, or without it by its place in the batch."""
         spark = df.sparkSession
-        spark._jvm.java.lang.Class.forName(self.driver)
         if self.create:
             self.ensure(spark, keyed=self.upsert)
-        rows = last_by_key(df, self.key, self.order) if self.upsert and self.order else df
-        rows = rows.select(*self.columns)
+        rows, order = (df, self.order) if self.order else (df.withColumn("_place", F.monotonically_increasing_id()), "_place")
+        rows = (last_by_key(rows, self.key, order) if self.upsert else df).select(*self.columns)
         if not self.upsert:
             rows.write.jdbc(self.url, self.table, "append", self.properties | {"driver": self.driver})
             return
-        staging = f"{self.table}_staging"
+        staging = f"{self.table}_{uuid.uuid4().hex[:12]}"  # of this batch alone, so writers don't meet
         self.ensure(spark, staging, keyed=False)
-        self.execute(spark, f"DELETE FROM {staging}")
         rows.write.jdbc(self.url, staging, "append", self.properties | {"driver": self.driver})
         rest = [c for c in self.columns if c != self.key]
         matched = f"WHEN MATCHED THEN UPDATE SET {', '.join(f't.{c} = s.{c}' for c in rest)} " if rest else ""
         names, values = ", ".join(self.columns), ", ".join(f"s.{c}" for c in self.columns)
-        self.execute(spark, f"MERGE INTO {self.table} t USING {staging} s ON t.{self.key} = s.{self.key} {matched}WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({values})")
+        self.execute(spark, f"MERGE INTO {self.table} t USING {staging} s ON t.{self.key} = s.{self.key} {matched}WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({values})", f"DROP TABLE {staging}")
 
     def batches(self) -> Callable[[DataFrame, int], None]:
         return self.write

@@ -18,14 +18,18 @@ class Monitor(StreamingQueryListener):
         self._lock = threading.Lock()
         self._rows: deque = deque(maxlen=keep)
         self.errors: dict[str, str] = {}
+        self.started: dict[str, str] = {}
+        self.observed: dict[str, dict] = {}
 
     def onQueryStarted(self, event) -> None:
-        pass
+        with self._lock:
+            self.started[event.name or str(event.id)] = str(event.timestamp)
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
         lag = next((str(dict(s.metrics)) for s in p.sources if s.metrics), None)
         with self._lock:
+            self.observed.setdefault(p.name or str(p.id), {}).update({k: v.asDict() for k, v in (p.observedMetrics or {}).items()})
             self._rows.append((p.name or str(p.id), p.batchId, p.timestamp, p.numInputRows, float(p.processedRowsPerSecond or 0), int(p.batchDuration), lag))
 
     def onQueryTerminated(self, event) -> None:

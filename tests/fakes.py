@@ -6,7 +6,7 @@ import json
 from pathlib import Path
 
 from streamgraph.sources.brokers import Queue, Shards
-from streamgraph.sources.services import Records, Sobjects
+from streamgraph.sources.services import Pushed, Records, Sobjects
 
 
 class FileShards(Shards):
@@ -34,12 +34,22 @@ class Service:
     def __init__(self, path):
         self.path = Path(path)
 
-    def receive(self, n, wait_s, visibility_s):
+    def lookup(self, name):
+        return name if self.path.exists() else None
+
+    def create(self, name):
+        self.path.write_text("[]")
+        return name
+
+    def frames(self, topic, after):
+        return [(k, json.dumps({"data": {"sobject": {"Id": str(k)}}})) for k in range(1, 6) if k > after]
+
+    def receive(self, handle, n, wait_s, visibility_s):
         rows = json.loads(self.path.read_text())
         self.path.write_text(json.dumps(rows[n:]))
         return [tuple(r) for r in rows[:n]]
 
-    def delete(self, receipts):
+    def delete(self, handle, receipts):
         with self.path.with_suffix(".deleted").open("a") as f:
             f.writelines(f"{r}\n" for r in receipts)
 
@@ -51,7 +61,7 @@ class Service:
 
 
 def queue(options):
-    return Queue(Service(options["path"]), options.get("json_group_key"))
+    return Queue(Service(options["path"]), "words", options["path"] + ".batches", options.get("json_group_key"), int(options.get("most", 1000)))
 
 
 def invoices(options):
@@ -66,6 +76,10 @@ def sobjects(options):
     return Sobjects(Service("/none"), "SELECT Id FROM X")
 
 
+def pushed(options):
+    return Pushed(Service("/none"), "updates")
+
+
 class Throttled:
     """Takes a record when it is put the second time; refuses keys ``bad``."""
 

@@ -93,9 +93,9 @@ def control(spark, events):
 
 def test_tree_outcomes_in_any_order(spark):
     events = [("new_msg", "s", "1", 5, "s", "w", None, "ramp"), ("new_msg", "s", "1", 9, "w", "x", None, None), ("ack", "s", "1", 5, "w", None, 1.0, None), ("ack", "s", "1", 9, "x", None, 1.0, None)]
-    for order in itertools.permutations(events):
-        assert tracking.folded(control(spark, order)).first()["status"] == "success"
-        break
+    every = [(k, *e) for k, order in enumerate(itertools.permutations(events)) for e in order]
+    made = rows.fan_in(*[control(spark, [e[1:] for e in every if e[0] == k]).withColumn("producer", F.lit(f"s{k}")) for k in range(24)])
+    assert {r["producer"]: r["status"] for r in tracking.folded(made).collect()} == {f"s{k}": "success" for k in range(24)}
     both = [*events[:3], ("new_msg", "other", "1", 3, "o", "w", None, "ramp"), ("fail", "third", "1", 1, "w", None, None, None)]
     got = {r["producer"]: (r["status"], r["destination"]) for r in tracking.folded(control(spark, both)).collect()}
     assert got == {"s": ("waiting", "x"), "other": ("waiting", "w"), "third": ("failed", None)}
@@ -165,3 +165,67 @@ def test_routing(spark):
         routing.routed(df, routing.Route.HASH, 4)
     table = routing.ring({"a": 1, "b": 1})
     assert len(table) == 240 and table == sorted(table)
+
+
+def doubled(batches_):
+    for batch in batches_:
+        yield batch
+        yield batch
+
+
+def largest(keys, table):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return pa.Table.from_pydict({"k": [keys[0].as_py()], "top": [pc.max(table["n"]).as_py()]})
+
+
+def test_user_functions(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 5), ("b", 2)], "k string, n bigint")
+    assert rows.process(df, doubled, "k string, n bigint").count() == 6
+    assert {tuple(r) for r in aggregates.grouped(df, largest, "k string, top bigint", "k").collect()} == {("a", 5), ("b", 2)}
+    assert sorted(map(tuple, rows.shuffled(df, 3).collect())) == sorted(map(tuple, df.collect()))
+    spin = rows.derive(df.withColumn("root_id", F.lit("r")), F.col("n") + 1).first()
+    assert (spin["root_id"], spin["content"]) == ("r", 2)
+
+
+@pytest.mark.parametrize("iso, text", [("PT0.25S", "250ms"), ("PT0S", "0ms"), ("PT59.9S", "59s"), ("PT2M", "2m 0s"), ("P1M", "672h 0m 0s"), ("P1YT1.5H", "8065.5h 0m 0s"), ("x", None)])
+def test_duration_text(spark, iso, text):
+    assert one(spark, fn.duration_text(F.col("v")), v=iso) == text
+
+
+def test_names_rounding_ids_and_maps(spark):
+    assert one(spark, fn.group_of(F.col("v")), v="word-1-2") == "word" and one(spark, fn.half_even(F.col("v")), v=2.5) == 2.0
+    assert len({r[0] for r in spark.range(10).select(fn.new_id()).collect()}) == 10
+    assert one(spark, fn.heartbeat(F.col("v")), v=datetime(1970, 1, 1, 0, 1)) == 60 and spark.range(1).select(fn.heartbeat()).first()[0] > 1_700_000_000
+    df = spark.createDataFrame([({"a": 1, "b": 2}, {"b": 3}, None)], "x map<string,int>, y map<string,int>, z map<string,int>")
+    assert df.select(fn.merged_entries(F.col("x"), F.col("y"), F.col("z"))).first()[0] == {"a": 1, "b": 3}
+    assert df.select(fn.prefixed_keys(F.col("x"))).first()[0] == {"b_a": 1, "b_b": 2}
+
+
+def test_ring_order_and_eviction(spark):
+    nodes = {"x": 1, "y": 1, "z": 3}
+    for key in ("a", "b", "c", "17"):
+        order = routing.iterate_nodes(nodes, key)
+        assert sorted(order) == ["x", "y", "z"]
+        assert routing.ring_routed(spark.createDataFrame([(key,)], "k string"), "k", nodes).first()["node"] == order[0]
+    beats = spark.createDataFrame([("a", T0), ("a", T0 + timedelta(seconds=40)), ("b", T0)], "process string, ts timestamp")
+    assert [r["process"] for r in brokers.evicted(beats, F.lit(T0 + timedelta(seconds=41))).collect()] == ["b"]
+
+
+@pytest.mark.parametrize("policy, settled, again", [(brokers.OnFailure.SKIP, {"s", "f"}, {}), (brokers.OnFailure.REPLAY, {"s"}, {"f": 2}), (brokers.OnFailure.REDELIVER, {"s"}, {})])
+def test_failure_policies(spark, policy, settled, again):
+    df = spark.createDataFrame([("s", "success", 1), ("f", "failed", 1), ("o", None, None)], "id string, status string, attempt int")
+    assert {r["id"] for r in brokers.acknowledged(df, "status", policy).collect()} == settled
+    assert {r["id"]: r["attempt"] for r in brokers.again(df, "status", policy).collect()} == again
+
+
+def test_an_llm_part_that_cannot_be_imported_costs_nothing_else(tmp_path):
+    """With a corpus module that raises ImportError all other queries are there."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['streamgraph.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; print(len(e.queries()), 'word_count' in e.oracle_sql(), any(q.startswith('op') and q[2].isdigit() for q in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, timeout=120)
+    assert out.stdout.split()[1:] == ["True", "False"] and int(out.stdout.split()[0]) > 50, out.stderr
