@@ -3,8 +3,8 @@
 The corpus is dealt into shards (slices of Arrow batches), each with its own BM25 inverted index. Each
 window of a shard is filled greedily: the document that begins it is the seed, and the index
 returns the unused documents nearest to it, best first, until the window is full. The last of
-them is cut there; what is left of it begins, and so seeds, the next window. A window that a shard leaves open is filled by the next one of the same
-partition, so only a partition's end is short of a window; it becomes sequences of
+them is cut there; what is left of it begins, and so seeds, the next window. A window that a shard leaves open keeps its seed, for which the next
+shard of the partition is asked, so only a partition's end is short of a window; it becomes sequences of
 powers of two, which need no padding.
 """
 
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from . import bpe, words
 
 WINDOW, END_ID = 2048, 1
+#: Bytes of text in a shard, about; asking costs a seed time in proportion to its shard.
+SHARD_BYTES = 3 << 20
 K1, B = 1.2, 0.75
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -44,9 +46,14 @@ class Index:
         self.of_doc, self.at = self.term[order], np.searchsorted(self.doc[order], np.arange(n + 1))
         self.n = n
 
-    def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every document for the words of the seed."""
-        t = self.of_doc[self.at[seed] : self.at[seed + 1]]
+    def words(self, doc: int) -> np.ndarray:
+        """The distinct words of a document, as hashes: a query for any shard."""
+        return self.terms[self.of_doc[self.at[doc] : self.at[doc + 1]]]
+
+    def scores(self, query: np.ndarray) -> np.ndarray:
+        """BM25 of every document of this shard for the words of a query."""
+        t = np.searchsorted(self.terms, query)
+        t = t[t < len(self.terms)][self.terms[t[t < len(self.terms)]] == query[t < len(self.terms)]]
         begin, size = self.first[t], self.first[t + 1] - self.first[t]
         where = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
         return np.bincount(self.doc[where], self.weight[where], self.n)
@@ -58,6 +65,7 @@ class Packer:
     def __init__(self, window: int, first_sequence: int):
         self.window, self.sequence, self.used = window, first_sequence, 0
         self.open: list[list] = []
+        self.seed: np.ndarray | None = None  # the words of the document that began the open window
 
     def put(self, doc: object, ids: np.ndarray, done: list[list]) -> bool:
         """Lay down a whole document; True if it ran over the end of a window. Full windows go to ``done``."""
@@ -90,31 +98,27 @@ class Packer:
 
 
 def order(index: Index, packer: Packer, docs: list, ids: list[np.ndarray]) -> list[list]:
-    """Lay down all documents of a shard; the rows of full windows."""
+    """Lay down all documents of a shard, the unused one nearest to the open window's seed first; the rows of full windows. Equal scores go by place."""
     done: list[list] = []
     unused = np.ones(len(docs), bool)
-    seed, near, at = None, None, 0
-    while True:
-        if seed is None:
-            while at < len(docs) and not unused[at]:
+    near, at = None, 0
+    for _ in range(len(docs)):
+        if packer.seed is None:
+            while not unused[at]:
                 at += 1
-            if at == len(docs):
-                return done
-            pick, seed, near = at, at, None
+            pick, packer.seed, near = at, index.words(at), None
         else:
             if near is None:
-                near = np.where(unused, index.scores(seed), -1.0)
+                near = np.where(unused, index.scores(packer.seed), -1.0)
             pick = int(near.argmax())
-            if near[pick] < 0:
-                return done
         unused[pick] = False
         if near is not None:
             near[pick] = -1.0
-        over = packer.put(docs[pick], ids[pick], done)
-        if over:  # its rest has begun the next window
-            seed, near = pick, None
+        if packer.put(docs[pick], ids[pick], done):  # its rest has begun the next window
+            packer.seed, near = index.words(pick), None
         elif not packer.used:
-            seed = None
+            packer.seed, near = None, None
+    return done
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -136,7 +140,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         enc = bpe.opened(tokenizer)
         packer = Packer(window, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for part in words.sliced(batch):
+            for part in words.sliced(batch, limit=SHARD_BYTES):
                 ids = [np.append(enc.ids(t or ""), np.uint32(end_id)).astype("<u4") for t in part.column("text").to_pylist()]
                 yield rows(order(Index(words.words_of(part, words.ALNUM)), packer, part.column("doc_id").to_pylist(), ids))
         yield rows(packer.close())

@@ -248,13 +248,53 @@ def test_packing(spark, library):
 def test_packing_puts_neighbours_together():
     texts = [f"{'apple pear plum' if i % 2 else 'iron steel zinc'} extra{i}" for i in range(20)]
     index = packing.Index(words.words_of(pa.RecordBatch.from_pydict({"text": texts}), words.ALNUM))
-    scores = index.scores(0)
+    scores = index.scores(index.words(0))
     assert scores[0] == scores.max() and min(scores[2::2]) > max(scores[1::2])
     brute = collections.Counter(w for t in texts for w in set(t.split()))
     term = lambda w: np.log1p((20 - brute[w] + 0.5) / (brute[w] + 0.5)) * 2.2 / (1 + 1.2)
     assert scores[2] == pytest.approx(sum(map(term, "iron steel zinc".split())))
 
 
+def brute_order(shards, sizes, window=2048):
+    """The documents in the order of the greedy rule, with BM25 word by word; then who was each one's seed."""
+    used, seed, laid = 0, None, []
+    for texts, lengths in zip(shards, sizes, strict=True):
+        bags = [collections.Counter(ALNUM.findall(t.translate(LOWER))) for t in texts]
+        n, mean = len(texts), sum(sum(b.values()) for b in bags) / len(texts)
+        df = collections.Counter(w for b in bags for w in b)
+
+        def score(query, i, bags=bags, n=n, mean=mean, df=df):
+            size = sum(bags[i].values())
+            return sum(np.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * bags[i][w] * 2.2 / (bags[i][w] + 1.2 * (1 - 0.75 + 0.75 * size / mean)) for w in query if bags[i][w])
+
+        left = list(range(n))
+        while left:
+            pick = left[0] if seed is None else max(left, key=lambda i: (round(score(seed, i), 9), -i))
+            seed = set(bags[pick]) if seed is None else seed
+            left.remove(pick)
+            laid.append(texts[pick])
+            total = used + lengths[pick]
+            if total >= window:
+                seed = set(bags[pick]) if total % window else None
+                seed = None if total % window == 0 else seed
+            used = total % window
+    return laid
+
+
+def test_packing_is_greedy_by_bm25_and_keeps_its_seed_across_shards():
+    rng = random.Random(9)
+    topics = [[f"{c}{i}" for i in range(40)] for c in "abcd"]
+    shards = [[" ".join(rng.choices(rng.choice(topics), k=rng.randrange(5, 60)) + [f"x{s}y{i}"]) for i in range(60)] for s in range(3)]
+    sizes = [[rng.choice([10, 100, 300, 512, 2500]) for _ in s] for s in shards]
+    packer, laid = packing.Packer(2048, 0), []
+    put = packer.put
+    packer.put = lambda doc, ids, done: laid.append(doc) or put(doc, ids, done)
+    for texts, lengths in zip(shards, sizes, strict=True):
+        index = packing.Index(words.words_of(pa.RecordBatch.from_pydict({"text": texts}), words.ALNUM))
+        packing.order(index, packer, texts, [np.arange(n, dtype="<u4") for n in lengths])
+    assert laid == brute_order(shards, sizes)
+
+
 def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "<|end|>", "<\\|text|>", "\\", "\\\\<|", "<", "|", "", None, "é🙂<|role|>", "<|<|"]
     rows = [(c, t, r, nasty[(c + t) % len(nasty)]) for c in range(11) for t, r in enumerate(["system", "user", "assistant", None])]
