@@ -100,12 +100,16 @@ def chat_digests() -> str:
 
 def license_scan() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    rows = ", ".join(f"({quoted(name)}, {i}, [{', '.join(map(quoted, grams))}])" for name, i, grams in licences.template_rows())
+    rows = ", ".join(f"({quoted(name)}, {i}, {n}, [{', '.join(map(quoted, grams))}])" for name, i, n, grams in licences.template_rows())
     return f"""
-    WITH t(licence, template, b) AS (VALUES {rows}),
-    u AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS unit, unnest(l) AS x FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
-      UNION ALL SELECT doc_id, 0, text FROM documents WHERE contains(text, chr(10))),
-    w AS (SELECT doc_id, unit, regexp_extract_all(lower(x), '[a-z0-9]+') AS ws FROM u),
-    a AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS a FROM w WHERE len(ws) > 1),
+    WITH t(licence, template, n, b) AS (VALUES {rows}),
+    l AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS unit, unnest(l) AS x FROM (SELECT doc_id, string_split(lower(coalesce(text, '')), chr(10)) AS l FROM documents)),
+    u AS (SELECT doc_id, unit, regexp_extract_all(x, '[a-z0-9]+') AS ws FROM l UNION ALL SELECT doc_id, 0, regexp_extract_all(lower(text), '[a-z0-9]+') FROM documents WHERE contains(text, chr(10))),
+    s AS (SELECT doc_id, unit, k, regexp_extract_all(x, '[a-z0-9]+') AS ws FROM (SELECT doc_id, unit, unnest(range(1, len(p) + 1)) AS k, unnest(p) AS x FROM (SELECT doc_id, unit, regexp_split_to_array(x, '[.!?]+[ \t]+') AS p FROM l))),
+    w AS (SELECT doc_id, flatten(list(ws ORDER BY unit, k)) AS ws, list(unit ORDER BY unit, k) AS units, list(len(ws) ORDER BY unit, k) AS sizes FROM s WHERE len(ws) > 0 GROUP BY doc_id),
+    begins AS (SELECT doc_id, ws, unnest(units) AS unit, unnest(list_transform(range(1, len(sizes) + 1), lambda i: 1 + coalesce(list_sum(list_slice(sizes, 1, i - 1)), 0))) AS place FROM w),
+    near AS (SELECT doc_id, unit, list_slice(ws, place, place + {max(n for _, _, n, _ in licences.template_rows())} - 1) AS ws FROM begins),
+    v AS (SELECT doc_id, unit, list_slice(ws, 1, n) AS ws FROM near, (SELECT DISTINCT n FROM t) UNION ALL SELECT * FROM u),
+    a AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS a FROM (SELECT DISTINCT * FROM v) WHERE len(ws) > 1),
     d AS (SELECT doc_id, unit, licence, template, 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM a, t WHERE 2 * least(len(a), len(b)) >= {licences.LEAST} * (len(a) + len(b)))
     SELECT doc_id, CAST(unit AS INTEGER) AS unit, licence, template, dice FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, licence DESC, template) AS r FROM d WHERE dice >= {licences.LEAST}) WHERE r = 1"""

@@ -391,24 +391,59 @@ def test_bloom_filters_hold_every_gram():
 
 
 def brute_licences(texts):
+    rows = licences.template_rows()
     for doc, text in texts:
-        units = [(i + 1, x) for i, x in enumerate((text or "").split("\n"))] + ([(0, text)] if "\n" in (text or "") else [])
-        for unit, x in units:
-            w = re.findall("[a-z0-9]+", x.lower())
+        lines = (text or "").lower().split("\n")
+        find = lambda x: re.findall("[a-z0-9]+", x)
+        units = [(i + 1, find(x)) for i, x in enumerate(lines)] + ([(0, find((text or "").lower()))] if len(lines) > 1 else [])
+        segments = [(i + 1, w) for i, x in enumerate(lines) for p in re.split("[.!?]+[ \t]+", x) if (w := find(p))]
+        for k, (line, _) in enumerate(segments):
+            following = [w for _, ws in segments[k : k + 400] for w in ws]
+            units += [(line, following[:n]) for n in {n for _, _, n, _ in rows}]
+        best = {}
+        for unit, w in units:
             a = {f"{p} {q}" for p, q in zip(w, w[1:], strict=False)}
-            scored = [(2 * len(a & set(b)) / (len(a) + len(b)), name, -i) for name, i, b in licences.template_rows() if a]
-            if scored and max(scored)[0] >= licences.LEAST:
-                dice, name, i = max(scored)
-                yield doc, unit, name, -i, round(dice, 9)
+            for name, i, _, grams in rows:
+                dice = 2 * len(a & set(grams)) / (len(a) + len(grams))
+                if dice >= licences.LEAST:
+                    best[unit] = max(best.get(unit, (0,)), (dice, name, -i))
+        for unit, (dice, name, i) in best.items():
+            yield doc, unit, name, -i, round(dice, 9)
+
+
+WRAPPED = "\n".join(re.findall(r".{1,70}(?: |$)", licences.TEMPLATES["MIT"][-1]))
+
+
+@pytest.mark.parametrize("text, found", [
+    (f"Some package\n\nCopyright (c) 2020 Someone\n\n{WRAPPED}\n\nThis sentence stands behind it. And more text follows, about other things.", {(5, "MIT")}),
+    ("A story about things.\nPermission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and\nassociated documentation files\nand so on it goes.", {(2, "MIT")}),
+    ("Thanks for reading this page. Licensed under CC BY 4.0. Bye, and come again.", {(1, "CC-BY-4.0")}),
+    ("// SPDX-License-Identifier: GPL-3.0\nint main() { return 0; }", {(1, "GPL-3.0")}),
+    ("# SPDX-License-Identifier: Apache-2.0", {(1, "Apache-2.0")}),
+    ("word " * 5000 + ". Licensed under the Mozilla Public License, Version 2.0. " + "word " * 3000, {(1, "MPL-2.0")}),
+    ("The licensed software may be distributed with permission of the holder.", set()),
+])
+def test_wrapped_and_embedded_licences(spark, text, found):
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    got = {(r["unit"], r["licence"]) for r in licences.best_matches(docs).collect()}
+    assert found <= got and {x for _, x in got} == {x for _, x in found}
 
 
 def test_licences(spark):
-    near = ["licensed UNDER the apache license version 2.0", "x\nReleased under the MIT Licence.\nReleased under the MIT License!", "Permission is hereby granted", "MIT"]
+    near = ["licensed UNDER the apache license version 2.0", "x\nReleased under the MIT Licence.\nReleased under the MIT License!", "Permission is hereby granted", "MIT", WRAPPED, f"x\n{WRAPPED} And one sentence more stands here.\ny"]
     for docs in (whole(spark), documents(spark, ODD + near)):
         docs = docs.where("doc_id is not null")
         got = {(r["doc_id"], r["unit"], r["licence"], r["template"], round(r["dice"], 9)) for r in licences.best_matches(docs).collect()}
         assert got == set(brute_licences([(r["doc_id"], r["text"]) for r in docs.collect()])) and got
-    assert licences.best_matches(docs.limit(0)).isEmpty()
+    assert licences.best_matches(docs.limit(0)).isEmpty() and not licences.best_matches(docs.select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(near[0]).alias("text"))).isEmpty()
+
+
+def test_key_words_are_needed():
+    """A unit without any key word of a template misses more bigrams than it may."""
+    for *_, grams in licences.template_rows():
+        keys = set(licences.key_words(grams, licences.LEAST))
+        without = [g for g in grams if not keys & set(g.split())]
+        assert 2 * len(without) / (len(without) + len(grams)) < licences.LEAST
 
 
 def test_native_operators_run_no_python(spark):
