@@ -2,7 +2,7 @@
 
 Units of a text are normalised to lower-case ASCII words and compared with
 licence templates by the Dice coefficient over distinct word bigrams. Units are each line, the whole text, and from every beginning of a
-line or sentence on as many words as a template has, wherever lines are wrapped. A unit of ``a`` bigrams
+line or sentence on as many words as a template has (which are compared with it alone), wherever lines are wrapped. A unit of ``a`` bigrams
 can reach ``least`` against a template of ``b`` only if a and b are close, so a template is joined to
 units by the sizes that can reach it; no other pair is ever made.
 
@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
 from .columns import let
 
 LEAST = 0.8
@@ -26,21 +28,18 @@ COMMON = frozenset("a above all an and any are as at be but by can either follow
 #: Words of a text whose beginnings are handled together, which bounds a row of a very long text.
 BLOCK_WORDS = 2000
 # Notices and texts of well-known public licences.
-_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 _BSD_SOURCE = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 _BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
-_BSD_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 _MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
 _ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
-_ISC_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
     ],
-    "MIT": ["Released under the MIT License.", "This software is released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", _MIT, f"{_MIT} {_AS_IS}"],
-    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", f"{_BSD_SOURCE} {_BSD_AS_IS}"],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Licensed under the BSD 3-Clause License.", f"{_BSD_SOURCE} {_BSD_NAMES} {_BSD_AS_IS}"],
+    "MIT": ["Released under the MIT License.", "This software is released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", _MIT],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", _BSD_SOURCE],
+    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Licensed under the BSD 3-Clause License.", f"{_BSD_SOURCE} {_BSD_NAMES}"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License v3.0.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License v2.0."],
     "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3."],
@@ -50,7 +49,7 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0-1.0": ["Released under CC0 1.0 Universal.", "This work is dedicated to the public domain under CC0 1.0."],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", _ISC, f"{_ISC} {_ISC_AS_IS}"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", _ISC],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
@@ -65,21 +64,29 @@ def template_rows() -> list[tuple[str, int, int, list[str]]]:
     return rows
 
 
-def key_words(grams: list[str], least: float) -> list[str]:
+def key_words(grams: list[str], least: float, chosen_before: frozenset[str] = frozenset()) -> list[str]:
     """Words of a template without all of which a unit can't reach ``least``: it needs least * b / (2 - least) of the b bigrams at least, and
-    these words are in more than the rest. Words in many bigrams come first, numbers and COMMON words last.
+    these words are in more than the rest. Words that other templates have chosen come first, then those in many bigrams; numbers and COMMON words last.
     """
     open_ = {tuple(g.split(" ")) for g in grams}
     spare = len(open_) - least * len(open_) / (2 - least)
     left, chosen = set(open_), []
     while len(open_) - len(left) <= spare + 1e-9:
         found = {w for g in left for w in g}
-        word = max(found, key=lambda w: (w not in COMMON and not w.isdigit(), sum(w in g for g in left), len(w), w))
+        word = max(found, key=lambda w: (w not in COMMON and not w.isdigit(), w in chosen_before, sum(w in g for g in left), len(w), w))
         chosen.append(word)
         left = {g for g in left if word not in g}
     return sorted(chosen)
 
 
+def all_key_words(rows: list[tuple], least: float) -> list[str]:
+    """Key words of all templates, small ones first."""
+    found: frozenset[str] = frozenset()
+    for *_, grams in sorted(rows, key=lambda r: len(r[-1])):
+        found |= set(key_words(grams, least, found))
+    return sorted(found)
+
+
 def reachable(b: int, least: float) -> list[int]:
     """The sizes a with 2 min(a, b) / (a + b) >= least."""
     return [a for a in range(1, int(b * (2 - least) / least) + 2) if 2 * min(a, b) >= least * (a + b)]
@@ -102,22 +109,43 @@ def _any_of(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, parts)
 
 
+def needed(b: int, least: float) -> int:
+    """Of a template's ``b`` bigrams so many at least are in a unit that reaches ``least``."""
+    return max(1, ceil(least * b / (2 - least) - 1e-9))
+
+
 def windows(texts: DataFrame, rows: list[tuple], least: float) -> DataFrame:
-    """(doc_id, unit, g): from every beginning of a line or sentence on, the bigrams of as many words as each template has; unit is the line."""
-    lengths = sorted({n for _, _, n, _ in rows})
-    keys = F.array(*[F.lit(k) for k in sorted({k for *_, grams in rows for k in key_words(grams, least)})])
-    most = lengths[-1]
+    """(doc_id, unit, n, g): from every beginning of a line or sentence on, the bigrams of as many words, n, as a template has; unit is the line.
+
+    Places of a text whose bigram is any template's are marked; a window is taken only where it has as many marks as the template needs.
+    """
+    most = max(n for _, _, n, _ in rows)
+    least_marks = {n: min(needed(len(grams), least) for _, _, m, grams in rows if m == n) for n in sorted({n for _, _, n, _ in rows})}
+    known = F.array(*[F.lit(g) for g in sorted({g for *_, grams in rows for g in grams})])
     sentences = lambda line: F.split(line, "[.!?]+[ \t]+", -1)
     word = lambda i: lambda w, j: F.struct(w.alias("w"), (i + 1).alias("line"), (j == 0).alias("first"))
     of_line = lambda line, i: F.flatten(F.transform(sentences(line), lambda x: F.transform(words_of(x), word(i))))
-    marked = texts.select("doc_id", F.flatten(F.transform(F.split("t", "\n", -1), of_line)).alias("w"))
-    cut = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / BLOCK_WORDS).cast("int")), lambda b: F.slice(w, b * BLOCK_WORDS + 1, BLOCK_WORDS + most))
-    blocks = marked.where(F.size("w") > 1).select("doc_id", F.explode(cut(F.col("w"))).alias("w"))
-    begins = F.filter(F.sequence(F.lit(0), F.least(F.size("w"), F.lit(BLOCK_WORDS)) - 1), lambda i: F.get("w", i)["first"])
-    at = let(F.col("w")["w"], lambda ws: F.transform(begins, lambda i: F.struct(F.get("w", i)["line"].alias("unit"), F.slice(ws, i + 1, most).alias("ws"))))
-    starts = blocks.select("doc_id", F.explode(at).alias("s")).select("doc_id", "s.unit", "s.ws").where(F.arrays_overlap("ws", keys))
-    taken = starts.select("doc_id", "unit", "ws", F.explode(F.array(*map(F.lit, lengths))).alias("n")).select("doc_id", "unit", F.slice("ws", 1, F.col("n")).alias("ws"))
-    return taken.where(F.arrays_overlap("ws", keys)).select("doc_id", "unit", let(F.col("ws"), bigrams).alias("g"))
+    # every value that a lambda names is bound by let or comes out of explode, else it would be computed again for each element
+    part = lambda w: lambda b: let(F.slice(w, b * BLOCK_WORDS + 1, BLOCK_WORDS + most), lambda x: F.struct(x["w"].alias("ws"), x["line"].alias("lines"), x["first"].alias("firsts")))
+    cut = lambda w: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(w) - 1, F.lit(0)) / BLOCK_WORDS).cast("int")), part(w))
+    blocks = texts.select("doc_id", F.explode(let(F.flatten(F.transform(F.split("t", "\n", -1), of_line)), cut)).alias("b")).where(F.size("b.ws") > 1)
+    pair = lambda i: F.concat(F.get("b.ws", i), F.lit(" "), F.get("b.ws", i + 1))
+    places = F.sequence(F.lit(0), F.size("b.ws") - 2)
+    marks = let(F.array_intersect(bigrams(F.col("b.ws")), known), lambda held: F.when(F.size(held) >= min(least_marks.values()), F.filter(places, lambda i: F.array_contains(held, pair(i)))).otherwise(F.array().cast("array<int>")))
+    begins = F.filter(F.sequence(F.lit(0), F.least(F.size("b.ws"), F.lit(BLOCK_WORDS)) - 1), lambda i: F.get("b.firsts", i))
+
+    def at(marks: Column) -> Column:
+        """The beginnings with marks near, and the places of those marks counted from them."""
+        near = lambda i: F.transform(F.filter(marks, lambda m: (m >= i) & (m < i + most - 1)), lambda m: m - i)
+        every = F.transform(begins, lambda i: F.struct(F.get("b.lines", i).alias("unit"), i.alias("i"), near(i).alias("near")))
+        return F.when(F.size(marks) > 0, F.filter(every, lambda s: F.size(s["near"]) >= min(least_marks.values())))
+
+    starts = blocks.select("doc_id", F.col("b.ws").alias("ws"), F.explode(let(marks, at)).alias("s"))
+    starts = starts.select("doc_id", "s.unit", "s.near", F.slice("ws", F.col("s.i") + 1, most).alias("ws"))
+    lengths = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("k")) for n, k in least_marks.items()])
+    enough = F.filter(lengths, lambda x: F.size(F.filter("near", lambda m: m < x["n"] - 1)) >= x["k"])
+    taken = starts.select("doc_id", "unit", "ws", F.explode(enough).alias("x")).select("doc_id", "unit", "x.n", F.slice("ws", 1, F.col("x.n")).alias("ws"))
+    return taken.select("doc_id", "unit", "n", let(F.col("ws"), bigrams).alias("g"))
 
 
 def scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -125,19 +153,24 @@ def scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
     A text of one line has no unit 0, as its line says the same. Several units that begin in one line give rows of their own. Null and empty texts, lines of fewer than two words and rows that resemble no template give no
     rows; null and repeated ids are carried as they are; other columns are not read. There is no shuffle: the templates are a constant of this module.
+    Texts that hold bigrams of templates are written once, to be read for each kind of unit.
     """
     spark: SparkSession = docs.sparkSession
     rows = template_rows()
-    made = [(name, i, size, grams) for name, i, _, grams in rows for size in reachable(len(grams), least)]
-    templates = spark.createDataFrame(made, "licence string, template int, a int, grams array<string>")
+    made = [(name, i, n, size, grams) for name, i, n, grams in rows for size in reachable(len(grams), least)]
+    templates = spark.createDataFrame(made, "licence string, template int, words int, a int, grams array<string>")
     largest = max(a for *_, a, _ in made)
-    keys = sorted({k for *_, grams in rows for k in key_words(grams, least)})
+    keys = all_key_words(rows, least)
+    known = F.array(*[F.lit(g) for g in sorted({g for *_, grams in rows for g in grams})])
+    least_marks = min(needed(len(grams), least) for *_, grams in rows)
     texts = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("t")).where(_any_of(F.col("t"), keys))
+    texts = texts.where(F.size(F.array_intersect(let(words_of(F.col("t")), bigrams), known)) >= least_marks)
+    texts = scratch.keep(texts, "likely")  # few, and read once for each kind of unit
     lines = texts.select("doc_id", F.posexplode(F.split("t", "\n", -1)).alias("i", "line")).select("doc_id", (F.col("i") + 1).alias("unit"), "line")
     whole = texts.where(F.instr("t", "\n") > 0).select("doc_id", F.lit(0).alias("unit"), F.col("t").alias("line"))
-    seen = lines.unionByName(whole).where(_any_of(F.col("line"), keys)).select("doc_id", "unit", let(words_of(F.col("line")), bigrams).alias("g"))
-    units = seen.unionByName(windows(texts, rows, least)).withColumn("a", F.size("g"))
-    joined = units.where(f"a between 1 and {largest}").join(F.broadcast(templates), "a")
+    seen = lines.unionByName(whole).select("doc_id", "unit", let(words_of(F.col("line")), bigrams).alias("g"))
+    units = seen.withColumn("n", F.lit(None).cast("int")).unionByName(windows(texts, rows, least)).withColumn("a", F.size("g"))
+    joined = units.where(f"a between 1 and {largest}").join(F.broadcast(templates), "a").where("n is null or n = words")
     dice = 2 * F.size(F.array_intersect("g", "grams")) / (F.col("a") + F.size("grams"))
     return joined.withColumn("dice", dice).where(F.col("dice") >= least).select("doc_id", "unit", "licence", "template", "dice")
 

@@ -109,7 +109,7 @@ def license_scan() -> str:
     w AS (SELECT doc_id, flatten(list(ws ORDER BY unit, k)) AS ws, list(unit ORDER BY unit, k) AS units, list(len(ws) ORDER BY unit, k) AS sizes FROM s WHERE len(ws) > 0 GROUP BY doc_id),
     begins AS (SELECT doc_id, ws, unnest(units) AS unit, unnest(list_transform(range(1, len(sizes) + 1), lambda i: 1 + coalesce(list_sum(list_slice(sizes, 1, i - 1)), 0))) AS place FROM w),
     near AS (SELECT doc_id, unit, list_slice(ws, place, place + {max(n for _, _, n, _ in licences.template_rows())} - 1) AS ws FROM begins),
-    v AS (SELECT doc_id, unit, list_slice(ws, 1, n) AS ws FROM near, (SELECT DISTINCT n FROM t) UNION ALL SELECT * FROM u),
-    a AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS a FROM (SELECT DISTINCT * FROM v) WHERE len(ws) > 1),
-    d AS (SELECT doc_id, unit, licence, template, 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM a, t WHERE 2 * least(len(a), len(b)) >= {licences.LEAST} * (len(a) + len(b)))
+    v AS (SELECT doc_id, unit, n AS sole, list_slice(ws, 1, n) AS ws FROM near, (SELECT DISTINCT n FROM t) UNION ALL SELECT doc_id, unit, NULL, ws FROM u),
+    a AS (SELECT doc_id, unit, sole, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS a FROM (SELECT DISTINCT * FROM v) WHERE len(ws) > 1),
+    d AS (SELECT doc_id, unit, licence, template, 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM a, t WHERE coalesce(sole = n, true) AND 2 * least(len(a), len(b)) >= {licences.LEAST} * (len(a) + len(b)))
     SELECT doc_id, CAST(unit AS INTEGER) AS unit, licence, template, dice FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, licence DESC, template) AS r FROM d WHERE dice >= {licences.LEAST}) WHERE r = 1"""
