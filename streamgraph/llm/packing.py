@@ -1,7 +1,10 @@
 """Operator 5: lexical retrieval packing.
 
-The corpus is dealt into shards (slices of Arrow batches), each with its own BM25 inverted index. Each
-window of a shard is filled greedily: the document that begins it is the seed, and the index
+Documents are dealt by content: each takes two of its words, drawn with weights that grow with
+rarity by a hash that all documents share, so that two documents draw the same ones the likelier the more
+rare words they have in common. Documents of a word go to one partition, a large partition to several, and
+are sorted there; runs of them are the shards, each with its own BM25 inverted index. So a seed's
+neighbours stand in its own shard or the next, wherever the tables had them. Each window of a shard is filled greedily: the document that begins it is the seed, and the index
 returns the unused documents nearest to it, best first, until the window is full. The last of
 them is cut there; what is left of it begins, and so seeds, the next window. A window that a shard leaves open keeps its seed, for which the next
 shard of the partition is asked, so only a partition's end is short of a window; it becomes sequences of
@@ -23,7 +26,13 @@ from . import bpe, words
 
 WINDOW, END_ID = 2048, 1
 #: Bytes of text in a shard, about; asking costs a seed time in proportion to its shard.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 3 << 19
+#: Bytes of the table in a partition of the deal, about, where the session's number of shuffle partitions would make larger ones.
+DEAL_BYTES = 64 << 20
+#: Spark gives tables of unknown size a size above this.
+UNKNOWN = 1 << 60
+#: Words are counted for their rarity in so many cells (a power of two) of 8 bytes a worker.
+CELLS = 1 << 18
 K1, B = 1.2, 0.75
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -59,6 +68,54 @@ class Index:
         return np.bincount(self.doc[where], self.weight[where], self.n)
 
 
+class Draw:
+    """Draws two words of each text; a worker counts the words it has met, so that rare ones are likelier."""
+
+    def __init__(self):
+        self.met, self.texts = np.zeros(CELLS, np.int64), 0
+
+    def words(self, w: words.Words) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text, the hashes of the words drawn first and second; 0 where it has none."""
+        cell = (w.hash % words.U(CELLS)).astype(np.int64)
+        self.met += np.bincount(cell, minlength=CELLS)
+        self.texts += len(w.count)
+        even = ((words.mix(w.hash) >> words.U(11)).astype(np.float64) + 1) / 2.0**53
+        rank = -np.log(even) / np.log1p(self.texts / self.met)[cell]  # the least of exponential numbers falls on a word in proportion to its weight
+        full = np.flatnonzero(w.count)
+        drawn = []
+        for _ in range(2):
+            found = np.zeros(len(w.count), np.uint64)
+            if len(full):
+                least = np.repeat(np.minimum.reduceat(rank, w.first[:-1][full]), w.count[full])
+                hit = np.flatnonzero((rank == least) & np.isfinite(rank))
+                found[np.searchsorted(w.first, hit, "right") - 1] = w.hash[hit]
+                rank[hit] = np.inf
+            drawn.append(found.view(np.int64))
+        return drawn[0], drawn[1]
+
+
+def deal(docs: DataFrame) -> DataFrame:
+    """doc_id and text of all rows, those that drew the same words side by side.
+
+    Rebalancing splits a partition that one word makes large by the sizes that were written, so no share of
+    rows under one word makes a long task. The order is total but for rows that are equal, so a task that
+    runs again sees the same.
+    """
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(s for s in sizes if s < UNKNOWN) // DEAL_BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw = Draw()
+        for batch in batches:
+            for part in words.sliced(batch):
+                first, second = draw.words(words.words_of(part, words.ALNUM))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(first), pa.array(second)], ["doc_id", "text", "first", "second"])
+
+    drawn = docs.mapInArrow(run, "doc_id bigint, text string, first bigint, second bigint")
+    return drawn.hint("rebalance", parts, F.col("first")).sortWithinPartitions("first", "second", "doc_id", "text").select("doc_id", "text")
+
+
 class Packer:
     """Fills windows across the shards of one partition."""
 
@@ -145,4 +202,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
                 yield rows(order(Index(words.words_of(part, words.ALNUM)), packer, part.column("doc_id").to_pylist(), ids))
         yield rows(packer.close())
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, fields)
+    return deal(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, fields)

@@ -281,6 +281,31 @@ def brute_order(shards, sizes, window=2048):
     return laid
 
 
+def test_packing_deals_copies_from_all_over_the_table_side_by_side(spark):
+    draw = np.random.default_rng(1)
+    names = np.array(["".join(map(chr, draw.integers(97, 123, 7))) for _ in range(6000)])
+    topics = [" ".join(draw.choice(names, 300)) for _ in range(40)]
+    texts = [f"{topics[i % 40]} {names[i]} {names[-i]}" for i in range(800)] + [None, "", "..."] * 5
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    dealt = packing.deal(table).withColumn("part", F.spark_partition_id())
+    assert sorted((r.doc_id, r.text or "") for r in dealt.collect()) == [(i, t or "") for i, t in enumerate(texts)]
+    parts = dealt.where("doc_id < 800").groupBy((F.col("doc_id") % 40).alias("topic"), "part").count().groupBy("topic").agg(F.max("count").alias("n")).collect()
+    assert sorted(r.n for r in parts)[20] >= 15  # of 20 copies of a topic
+    again = packing.deal(table)
+    assert [r.doc_id for r in dealt.select("doc_id").collect()] == [r.doc_id for r in again.collect()]
+    assert "RebalancePartitions" in again._jdf.queryExecution().optimizedPlan().toString() and packing.deal(table.limit(0)).isEmpty()
+
+
+def test_packing_splits_a_deal_that_one_word_fills(spark):
+    table = spark.range(3000).selectExpr("id AS doc_id", "repeat('the same words again ', 400) AS text").repartition(8)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        sizes = [r["count"] for r in packing.deal(table).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert sum(sizes) == 3000 and len(sizes) > 3 and max(sizes) < 1500
+
+
 def test_packing_is_greedy_by_bm25_and_keeps_its_seed_across_shards():
     rng = random.Random(9)
     topics = [[f"{c}{i}" for i in range(40)] for c in "abcd"]
