@@ -80,7 +80,7 @@ class Draw:
         self.met += np.bincount(cell, minlength=CELLS)
         self.texts += len(w.count)
         even = ((words.mix(w.hash) >> words.U(11)).astype(np.float64) + 1) / 2.0**53
-        rank = -np.log(even) / np.log1p(self.texts / self.met)[cell]  # the least of exponential numbers falls on a word in proportion to its weight
+        rank = -np.log(even) / np.log1p(self.texts / self.met[cell])  # the least of exponential numbers falls on a word in proportion to its weight
         full = np.flatnonzero(w.count)
         drawn = []
         for _ in range(2):
