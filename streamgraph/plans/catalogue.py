@@ -348,9 +348,16 @@ def failure_policies(spark, sf_dir):
 
 @query(f"SELECT user_id AS process, CAST(epoch(max(ts)) // 1 AS BIGINT) AS last_seen FROM events GROUP BY user_id HAVING CAST(epoch(max(ts)) // 1 AS BIGINT) < CAST(epoch({NOW}) // 1 AS BIGINT) - 86400")
 def evicted_processes(spark, sf_dir):
-    """Users whose last event is more than a day before now."""
-    beats = table(spark, sf_dir, "events").select(F.col("user_id").alias("process"), F.col("ts").cast("timestamp").alias("ts"))
-    return brokers.evicted(beats, F.expr(SPARK_NOW), 86_400)
+    """Users whose last event, rounded to a second, is more than a day before now."""
+
+    def rounded(ts):
+        """A zoneless time as UTC, rounded half to even: the SQL casts epoch's double, whose fraction DuckDB's // keeps, while heartbeats cut it."""
+        clock = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.extract(F.lit("SECOND"), ts)
+        micros = F.unix_date(ts.cast("date")) * F.lit(86_400_000_000) + (clock * 1_000_000).cast("bigint")
+        return F.timestamp_seconds(F.rint(micros / 1e6).cast("bigint"))
+
+    beats = table(spark, sf_dir, "events").select(F.col("user_id").alias("process"), rounded(F.col("ts")).alias("ts"))
+    return brokers.evicted(beats, rounded(F.expr(SPARK_NOW)), 86_400)
 
 
 @query(

@@ -47,3 +47,20 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_last_write_wins_needs_no_window(spark):
     plan = catalogue.QUERIES["upsert_last_wins"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_evicted_processes_rounds_as_its_sql(spark, tmp_path, zone):
+    """Halves go to the even second, either side of the cutoff and of 1970, in any session's time zone."""
+    times = "2024-01-28 13:16:50.465735|2024-01-28 13:16:50.5|2024-01-28 13:16:51.5|2024-01-29 03:54:47.905753|2024-01-29 12:29:59.499999|2024-01-29 12:29:59.5|2024-01-29 12:30:00|2023-03-12 02:30:00.7|1969-12-31 23:59:57.5|1969-12-31 23:59:58.4"
+    rows = ", ".join(f"({i}, TIMESTAMP '{t}'), ({i}, TIMESTAMP '{t}' - INTERVAL 1 HOUR)" for i, t in enumerate(times.split("|")))
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE events AS SELECT * FROM (VALUES {rows}, (99, NULL), (NULL, TIMESTAMP '2024-01-28 00:00:00.6')) t(user_id, ts)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = {tuple(r) for r in catalogue.QUERIES["evicted_processes"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == set(con.execute(catalogue.ORACLES["evicted_processes"]).fetchall()) and len(got) == 9
