@@ -178,6 +178,12 @@ def order(index: Index, packer: Packer, docs: list, ids: list[np.ndarray]) -> li
     return done
 
 
+def encoded(enc: bpe.Texts, texts: pa.Array, end_id: int) -> list[np.ndarray]:
+    """The ids of each text, and the end's."""
+    flat, at = enc.batch(*words.text_buffer(texts))
+    return np.split(np.insert(flat, at[1:], end_id), at[1:-1] + np.arange(1, len(at) - 1))
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with ``with_ids`` its ``ids``.
 
@@ -198,7 +204,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         packer = Packer(window, TaskContext.get().partitionId() << 40)
         for batch in batches:
             for part in words.sliced(batch, limit=SHARD_BYTES):
-                ids = [np.append(enc.ids(t or ""), np.uint32(end_id)).astype("<u4") for t in part.column("text").to_pylist()]
+                ids = encoded(enc, part.column("text"), end_id)
                 yield rows(order(Index(words.words_of(part, words.ALNUM)), packer, part.column("doc_id").to_pylist(), ids))
         yield rows(packer.close())
 

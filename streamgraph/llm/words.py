@@ -43,7 +43,7 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
-def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of each data[start:end], taken eight bytes at a time; nothing is kept but a number for each."""
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
@@ -62,6 +62,23 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return h
 
 
+def equal(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each data[start:end] has the same bytes as that of the number ``other``."""
+    size, like = end - start, start[other]
+    if not np.array_equal(size, size[other]):
+        return False
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    live, at = np.flatnonzero((start != like) & (size <= LONG_WORD)), 0
+    while len(live):
+        if ((eights[start[live] + at] ^ eights[like[live] + at]) & _LEFT[np.minimum(size[live] - at, 8)]).any():
+            return False
+        at += 8
+        live = live[size[live] > at]
+    return all(np.array_equal(data[start[i] : end[i]], data[like[i] : like[i] + size[i]]) for i in np.flatnonzero((start != like) & (size > LONG_WORD)))
+
+
 def ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Polynomial hashes of values[starts:ends] (word hashes), each independent of where it stands."""
     n = len(values) + 1
@@ -91,7 +108,7 @@ class Words:
         self.start, self.end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
-        self.hash = _hashes(_LOWER[data] if lower else data, self.start, self.end)
+        self.hash = hashes(_LOWER[data] if lower else data, self.start, self.end)
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each window of k words within a text: its hash, its first word, its text."""

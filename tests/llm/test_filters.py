@@ -245,6 +245,39 @@ def test_packing(spark, library):
     assert packing.pack(documents(spark), queries.tokenizer()).count() >= len(ODD) + 4 and packing.pack(docs.limit(0), queries.tokenizer()).isEmpty()
 
 
+def test_packing_encodes_each_unit_of_a_shard_once(library, monkeypatch):
+    """What is encoded is in proportion to the distinct units, and the ids are the library's."""
+    rng = random.Random(4)
+    names = ["".join(rng.choices("abcdeé\u0436", k=rng.randrange(2, 9))) for _ in range(200)]
+    texts = [" ".join(rng.choices(names, k=300)) for _ in range(40)] + [None, ""]
+    enc, sent = bpe.Bpe(queries.tokenizer()), []
+    encode = enc._encode
+    monkeypatch.setattr(enc, "_encode", lambda chunk: sent.append(chunk) or encode(chunk))
+    got = packing.encoded(enc, pa.array(texts), 1)
+    assert [x.tolist() for x in got] == [[*library.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert sum(map(len, sent)) < sum(len(t or "") for t in texts) / 10
+
+
+@pytest.mark.parametrize("broken", [None, "hashes", "sizes", "bytes", "pieces"])
+def test_batches_of_texts_have_the_ids_of_single_texts(library, monkeypatch, broken):
+    """White space of all kinds, special strings and long units; hashes that agree, ids of unknown size, batches beyond the limit."""
+    bits = ["a", "b ", " ", "  ", "\n", "'s", "1", "\u00e9", "!", "\xa0", "word ", "\x85", "\u00e0 ", "\u2003", "\u3000", "\u6587", "\u1680", "\u200b", "\u0250 "]
+    bits += ["<|endoftext|>", "<|endof", "text|>", "\u0416 \u0436", "\x1c", "\x00", "\u201c", "x" * 70 + " ", "\t", "\U0001f642", "\u180e", "\u2028 ", "\u202f"]
+    enc, rng = bpe.Bpe(queries.tokenizer()), random.Random(7)
+    if broken == "hashes":
+        monkeypatch.setattr(words, "hashes", lambda data, start, end: np.zeros(len(start), np.uint64))
+    elif broken == "sizes":
+        enc.size[:] = 1
+    elif broken == "bytes":
+        monkeypatch.setattr(bpe, "BATCH_BYTES", 50)
+    elif broken == "pieces":
+        enc = bpe.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    for k in range(150):
+        texts = ["".join(rng.choices(bits, k=rng.randrange(30))) for _ in range(rng.randrange(1, 9))] + [None] * (k % 2)
+        want = [enc.ids(t or "").tolist() if broken == "pieces" else library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in packing.encoded(enc, pa.array(texts, pa.string()), 1)] == [[*x, 1] for x in want]
+
+
 def test_packing_puts_neighbours_together():
     texts = [f"{'apple pear plum' if i % 2 else 'iron steel zinc'} extra{i}" for i in range(20)]
     index = packing.Index(words.words_of(pa.RecordBatch.from_pydict({"text": texts}), words.ALNUM))
