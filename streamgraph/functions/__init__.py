@@ -59,16 +59,23 @@ def ring_key(key: Column) -> Column:
 
 _UNITS = {"Y": YEAR_DAYS * DAY, "M": MONTH_DAYS * DAY, "W": 7 * DAY, "D": DAY}
 _TIMES = {"H": 3600, "M": 60, "S": 1}
+_DATE, _TIME = ("".join(rf"(?:(\d+(?:\.\d+)?){u})?" for u in units) for units in (_UNITS, _TIMES))
+#: A whole text: a duration with its sign and the numbers of its units as groups, or anything else without any.
+_ISO = rf"^(-?P)(?=.){_DATE}(?:T(?=\d){_TIME})?$[\s\S]*|^[\s\S]*"
+
+
+def _of_duration(iso: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of an array: for an ISO-8601 duration 1 or -1, then its years, months, weeks, days, hours, minutes and seconds, 0 where it has none. The first
+    is null if it is no duration. A text is matched, and its numbers are read, once.
+    """
+    marked = F.regexp_replace(iso, _ISO, ",".join(["$1", *(f"0${i}" for i in range(2, 9))]))
+    return let(F.split(F.translate(marked, "P", "1"), ",").try_cast("array<double>"), body)
 
 
 def duration_seconds(iso: Column) -> Column:
     """Seconds of an ISO-8601 duration, a year as 365 and a month as 30 days; null if it is none."""
-    number = r"(\d+(?:\.\d+)?)"
-    date, time = F.regexp_extract(iso, r"^-?P([^T]*)", 1), F.regexp_extract(iso, r"T(.*)$", 1)
-    part = lambda text, unit: F.coalesce(F.regexp_extract(text, number + unit, 1).try_cast("double"), F.lit(0.0))
-    total = sum((part(date, u) * s for u, s in _UNITS.items()), F.lit(0.0)) + sum((part(time, u) * s for u, s in _TIMES.items()), F.lit(0.0))
-    valid = iso.rlike(r"^-?P(?=.)(\d+(\.\d+)?Y)?(\d+(\.\d+)?M)?(\d+(\.\d+)?W)?(\d+(\.\d+)?D)?(T(?=\d)(\d+(\.\d+)?H)?(\d+(\.\d+)?M)?(\d+(\.\d+)?S)?)?$")
-    return F.when(valid, F.when(iso.startswith("-"), -total).otherwise(total))
+    total = lambda n, units, first: sum((n[i] * s for i, s in enumerate(units.values(), first)), F.lit(0.0))
+    return _of_duration(iso, lambda n: n[0] * (total(n, _UNITS, 1) + total(n, _TIMES, 5)))
 
 
 def duration_text(iso: Column) -> Column:
@@ -90,13 +97,15 @@ def duration_text(iso: Column) -> Column:
 
 def duration_iso(seconds: Column) -> Column:
     """Seconds as ``P[nD]T[nH][nM]nS``, to the microsecond, without trailing zeros."""
+
+    def text(whole, below):
+        days, hours, minutes, rest = F.floor(whole / DAY), F.floor(whole / 3600) % 24, F.floor(whole / 60) % 60, whole % 60
+        fraction = F.when(below > 0, F.concat(F.lit("."), F.rtrim(F.lpad(below.cast("string"), 6, "0"), F.lit("0")))).otherwise("")
+        some = lambda n, unit: F.when(n > 0, F.concat(n.cast("string"), F.lit(unit))).otherwise("")
+        return F.concat(F.lit("P"), some(days, "D"), F.lit("T"), some(hours, "H"), some(minutes, "M"), rest.cast("string"), fraction, F.lit("S"))
+
     micros = F.round(F.abs(seconds) * 1_000_000).cast("bigint")
-    whole = F.floor(micros / 1_000_000)
-    days, hours, minutes, rest = F.floor(whole / DAY), F.floor(whole / 3600) % 24, F.floor(whole / 60) % 60, whole % 60
-    fraction = F.regexp_replace(F.format_string(".%06d", micros % 1_000_000), r"\.?0+$", "")
-    some = lambda n, unit: F.when(n > 0, F.concat(n.cast("string"), F.lit(unit))).otherwise("")
-    sign = F.when(seconds < 0, "-").otherwise("")
-    return F.concat(sign, F.lit("P"), some(days, "D"), F.lit("T"), some(hours, "H"), some(minutes, "M"), rest.cast("string"), fraction, F.lit("S"))
+    return F.concat(F.when(seconds < 0, "-").otherwise(""), let(micros, lambda m: let(F.floor(m / 1_000_000), lambda whole: text(whole, m % 1_000_000))))
 
 
 def clock(seconds: Column) -> Column:

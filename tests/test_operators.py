@@ -20,6 +20,13 @@ def test_duration_seconds(spark, iso, seconds):
     assert one(spark, fn.duration_seconds(F.col("v")), v=iso) == seconds
 
 
+@pytest.mark.parametrize(
+    "iso, seconds", [(None, None), ("", None), ("P1,2,3,4,5,6,7", None), ("1,0,0,0,0,0,0,5", None), ("PT1.S", None), ("P1DT", None), ("PT1M1H", None), ("PT1S\r\n", 1.0), ("PT1S\n\n", None), ("-P1DT0.5S\u2028", -86400.5), ("P1MT1M", 30 * 86400 + 60.0), ("PT007.50S", 7.5), ("PT" + "9" * 400 + "S", float("inf"))]
+)
+def test_duration_seconds_of_odd_texts(spark, iso, seconds):
+    assert spark.createDataFrame([(iso,)], "v string").select(fn.duration_seconds(F.col("v"))).first()[0] == seconds
+
+
 @pytest.mark.parametrize("seconds, iso", [(1.39753, "PT1.39753S"), (0.0, "PT0S"), (93784.0, "P1DT2H3M4S"), (-61.5, "-PT1M1.5S"), (3600.000001, "PT1H0.000001S")])
 def test_duration_iso(spark, seconds, iso):
     assert one(spark, fn.duration_iso(F.col("v")), v=seconds) == iso
