@@ -82,17 +82,18 @@ def duration_text(iso: Column) -> Column:
     """An ISO-8601 duration as ``2h 5m 7s``: its largest unit that is not zero and all below; whole milliseconds where all are zero. A month counts
     as four weeks and a year as twelve such months here, unlike in ``duration_seconds``. Null if it is no duration.
     """
+
+    def text(n, hours):
+        minutes, seconds = n[6], n[7]
+        whole = F.floor(seconds).cast("string")
+        shown = lambda x: F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+        text = F.when(hours > 0, F.concat(shown(hours), F.lit("h "), shown(minutes), F.lit("m "), whole, F.lit("s")))
+        text = text.when(minutes > 0, F.concat(shown(minutes), F.lit("m "), whole, F.lit("s"))).when(seconds >= 1, F.concat(whole, F.lit("s")))
+        return F.when(n[0].isNotNull(), text.otherwise(F.concat(F.floor(seconds * 1000).cast("string"), F.lit("ms"))))
+
     # Hours of the larger units.
-    hours_of = {"Y": 24 * 7 * 4 * 12, "M": 24 * 7 * 4, "W": 24 * 7, "D": 24}
-    date, time = F.regexp_extract(iso, r"^-?P([^T]*)", 1), F.regexp_extract(iso, r"T(.*)$", 1)
-    part = lambda text, unit: F.coalesce(F.regexp_extract(text, rf"(\d+(?:\.\d+)?){unit}", 1).try_cast("double"), F.lit(0.0))
-    hours = sum((part(date, u) * n for u, n in hours_of.items()), part(time, "H"))
-    minutes, seconds = part(time, "M"), part(time, "S")
-    whole = F.floor(seconds).cast("string")
-    shown = lambda x: F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
-    text = F.when(hours > 0, F.concat(shown(hours), F.lit("h "), shown(minutes), F.lit("m "), whole, F.lit("s")))
-    text = text.when(minutes > 0, F.concat(shown(minutes), F.lit("m "), whole, F.lit("s"))).when(seconds >= 1, F.concat(whole, F.lit("s")))
-    return F.when(duration_seconds(iso).isNotNull(), text.otherwise(F.concat(F.floor(seconds * 1000).cast("string"), F.lit("ms"))))
+    hours_of = (24 * 7 * 4 * 12, 24 * 7 * 4, 24 * 7, 24)
+    return _of_duration(iso, lambda n: let(sum((n[i] * h for i, h in enumerate(hours_of, 1)), n[5]), lambda hours: text(n, hours)))
 
 
 def duration_iso(seconds: Column) -> Column:

@@ -66,7 +66,7 @@ def test_evicted_processes_rounds_as_its_sql(spark, tmp_path, zone):
     assert got == set(con.execute(catalogue.ORACLES["evicted_processes"]).fetchall()) and len(got) == 9
 
 
-@pytest.mark.parametrize("name", ["iso_duration_roundtrip", "iso_duration_parse"])
+@pytest.mark.parametrize("name", ["iso_duration_roundtrip", "iso_duration_parse", "duration_texts"])
 def test_durations_are_matched_once(spark, name):
     """The pattern is in the plan once, so no row's text is matched for each of its numbers, in whatever operator the column stands."""
     plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()

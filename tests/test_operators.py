@@ -201,6 +201,11 @@ def test_duration_text(spark, iso, text):
     assert one(spark, fn.duration_text(F.col("v")), v=iso) == text
 
 
+@pytest.mark.parametrize("iso, text", [(None, None), ("", None), ("PT1M1H", None), ("PT1S\n", "1s"), ("-P1DT0.5M", "24h 0.5m 0s"), ("P0.5DT90S", "12h 0m 90s"), ("P1MT0.7S", "672h 0m 0s"), ("PT0.0005S", "0ms")])
+def test_duration_text_of_odd_texts(spark, iso, text):
+    assert spark.createDataFrame([(iso,)], "v string").select(fn.duration_text(F.col("v"))).first()[0] == text
+
+
 def test_names_rounding_ids_and_maps(spark):
     assert one(spark, fn.group_of(F.col("v")), v="word-1-2") == "word" and one(spark, fn.half_even(F.col("v")), v=2.5) == 2.0
     assert len({r[0] for r in spark.range(10).select(fn.new_id()).collect()}) == 10
